@@ -123,13 +123,21 @@ def stock_monthly_store(spark: SparkSession, d: str, grain: str = "mixed") -> Da
         F.sum(qty).alias("stock_qty"), F.count(F.lit(1)).alias("source_row_count"))
 
 
+_NAME = "concat(upper(p_name), CASE WHEN l_partkey % 3 = 0 THEN '' ELSE concat(' ', l_partkey) END)"
+
+
+def sales_names(spark: SparkSession, d: str) -> DataFrame:
+    """Product name keys as the sales lines carry them; every third is shared by many skus."""
+    return txn(spark, d, stores=False).select(F.expr(_NAME).alias("product_name_key"), "sku_id").distinct()
+
+
 def supplier_stock_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Long supplier stock by product *name*, as the suppliers send it."""
+    """Monthly supplier stock by product *name*; every seventh name is unknown to sales."""
     t = txn(spark, d, "sparse", stores=False).withColumn("stock_month", F.trunc("sale_date", "MM"))
-    return t.groupBy(F.upper("product_name").alias("product_name_key"), F.expr("concat('S', l_suppkey)").alias("supplier_key"),
-                     "stock_month").agg(
+    name = F.expr(f"concat({_NAME}, CASE WHEN l_partkey % 7 = 0 THEN ' NEW' ELSE '' END)")
+    return t.groupBy(name.alias("product_name_key"), F.expr("concat('S', l_suppkey)").alias("supplier_key"), "stock_month").agg(
         F.expr("CAST(sum(l_quantity) % 30 AS DOUBLE)").alias("supplier_stock_qty"),
-        F.expr("round(sum(l_extendedprice), 2)").alias("supplier_stock_value"))
+        F.sum("l_extendedprice").alias("supplier_stock_value"))
 
 
 def budgets(spark: SparkSession, d: str) -> DataFrame:

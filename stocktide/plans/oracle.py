@@ -105,9 +105,12 @@ def with_blocks(body: str) -> str:
     return head + " " + stripped
 
 
-def finish(sql: str, doubles: str = "", longs: str = "") -> str:
-    """Round doubles to 4 places and widen counts, as the Spark side does."""
-    items = [f"round({c}, 4) + 0.0 AS {c}" for c in doubles.split()]
+def finish(sql: str, doubles: str = "", longs: str = "", digits: int = 4) -> str:
+    """Round doubles to ``digits`` places and widen counts, as the Spark side does.
+
+    The 1e-9 keeps exact ties from falling either way with the order of summing.
+    """
+    items = [f"round({c} + 1e-9, {digits}) AS {c}" for c in doubles.split()]
     items += [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()]
     inner = with_blocks(sql)
     return f"SELECT * REPLACE ({', '.join(items)}) FROM ({inner})" if items else inner
