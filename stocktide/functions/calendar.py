@@ -215,10 +215,7 @@ def calendar_days(dates: DataFrame, date: str = "date") -> DataFrame:
     k = F.col("event_key")
     reach = hol.where(k != "").select(
         F.explode(F.sequence(
-            F.expr("holiday_date") - F.make_dt_interval(event_attribute(k, 1)),
-            F.expr("holiday_date") + F.make_dt_interval(event_attribute(k, 2)),
-            F.expr("interval 1 day"),
-        )).cast("date").alias("date"),
+            F.date_sub("holiday_date", event_attribute(k, 1)), F.date_add("holiday_date", event_attribute(k, 2)))).alias("date"),
         event_attribute(k, 0).alias("m"), "holiday_name", "holiday_date",
     )
     best = reach.groupBy("date").agg(
