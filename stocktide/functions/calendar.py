@@ -266,4 +266,3 @@ def mondays(first: str, count: int, step_weeks: int = 4) -> list[dt.date]:
     return [d + dt.timedelta(weeks=step_weeks * i) for i in range(count)]
 
 
-__all__ = [n for n in dir() if not n.startswith("_")]

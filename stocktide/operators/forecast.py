@@ -24,7 +24,8 @@ HOLT_GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
 
 
 def r1(c: Column) -> Column:
-    return F.bround(c, 1)
+    """One decimal, half to even; the inner rounding drops the noise of the order of summing."""
+    return F.bround(F.round(c, 6), 1)
 
 
 def result(df: DataFrame, keys: list[str], method: str, f4: Column, f8: Column, se4: Column, se8: Column, error: Column,
@@ -335,8 +336,8 @@ def seasonal_dampen(ensemble: DataFrame, weekly: DataFrame, keys: list[str], val
     return out.select(
         *[F.when(on, r1(F.col(c) * F.col("_x4" if c.endswith("4w") else "_x8"))).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
           for c in ensemble.columns],
-        on.cast("int").alias("seasonal_dampening_applied"), F.when(on, F.round("_x4", 3)).alias("seasonal_multiplier_4w"),
-        F.when(on, F.round("_x8", 3)).alias("seasonal_multiplier_8w"))
+        on.cast("int").alias("seasonal_dampening_applied"), F.when(on, F.round(F.round("_x4", 6), 3)).alias("seasonal_multiplier_4w"),
+        F.when(on, F.round(F.round("_x8", 6), 3)).alias("seasonal_multiplier_8w"))
 
 
 def all_methods(weekly: DataFrame, keys: list[str], folded: DataFrame) -> DataFrame:

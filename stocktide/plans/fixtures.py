@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stocktide.functions.calendar import mondays
 from stocktide.functions.text import discount_fraction
+from stocktide.session import cut_lineage
 from stocktide.operators.clean import campaign_signals, returns_split, sale_dates
 
 AS_OF = dt.date(2001, 8, 1)
@@ -20,6 +21,22 @@ SKU = {
 }
 
 
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A derived table that many queries read, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _SHARED:
+        _SHARED[key] = cut_lineage(build())
+    return _SHARED[key]
+
+
+def forget_shared() -> None:
+    """Make the next query build its tables anew (the benchmark times whole jobs)."""
+    _SHARED.clear()
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 

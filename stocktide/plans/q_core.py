@@ -21,22 +21,31 @@ COUNTS = " ".join(wk.COUNTS)
 
 
 def cells(spark, d, grain="mixed"):
-    """Weekly cells, written once because several blocks read them."""
-    return cut_lineage(wk.demand_cells(fx.txn(spark, d, grain)))
+    """Weekly cells: the one scan of the lines behind labels, features and actuals."""
+    return fx.shared(spark, d, f"cells_{grain}", lambda: wk.demand_cells(fx.txn(spark, d, grain)))
 
 
-def labelled(cell):
-    """(weekly, labels with target_start) of all targets."""
-    weekly = cut_lineage(wk.chain_weeks(cell))
-    lab_df = lab.regime_labels(cell, weekly, CUTOFFS).withColumnRenamed("horizon_start", "target_start")
-    return weekly, lab_df
+def chain(spark, d):
+    return fx.shared(spark, d, "chain", lambda: wk.chain_weeks(cells(spark, d)))
+
+
+def labels_of(spark, d):
+    """Labels of all targets, keyed by target_start."""
+    return fx.shared(spark, d, "labels", lambda: lab.regime_labels(cells(spark, d), chain(spark, d), CUTOFFS).withColumnRenamed(
+        "horizon_start", "target_start"))
+
+
+def naive_of(spark, d):
+    return sc.with_naive(labels_of(spark, d).select(*sc.KEY), sc.naive_wide(chain(spark, d), TARGETS))
+
+
+def actuals_of(spark, d):
+    return sc.actuals_4w(labels_of(spark, d), chain(spark, d), TARGETS)
 
 
 def naive_score_rows(spark, d):
-    weekly, labels = labelled(cells(spark, d))
-    labels = cut_lineage(labels)
-    wide = sc.with_naive(labels.select(*sc.KEY), sc.naive_wide(weekly, TARGETS))
-    return sc.score_rows(labels, sc.to_long(wide, sc.NAIVE_MODELS), sc.actuals_4w(labels, weekly, TARGETS))
+    return fx.shared(spark, d, "naive_rows", lambda: sc.score_rows(
+        labels_of(spark, d), sc.to_long(naive_of(spark, d), sc.NAIVE_MODELS), actuals_of(spark, d)))
 
 
 @query("weekly_store_demand", """
@@ -217,20 +226,20 @@ LAB_N = ("active_weeks_52 active_4w_windows_52 revenue_rank is_top_80_revenue ac
 
 @query("regime_labels", "SELECT *, target_start + 27 AS horizon_end FROM labels_x", LAB_D, LAB_N)
 def _(spark, d):
-    return labelled(cells(spark, d))[1]
+    return lab.regime_labels(cells(spark, d), chain(spark, d), CUTOFFS).withColumnRenamed("horizon_start", "target_start")
 
 
 @query("trailing_52w", """
 SELECT as_of_week, sku_id, coalesce(rev, 0) AS trailing_52w_revenue, coalesce(units, 0) AS trailing_52w_pos_units, coalesce(aw, 0) AS active_weeks_52
 FROM lab_uni LEFT JOIN lab_52 USING (as_of_week, sku_id)""", "trailing_52w_revenue trailing_52w_pos_units", "active_weeks_52")
 def _(spark, d):
-    m = lab.history_metrics(wk.chain_weeks(wk.demand_cells(fx.txn(spark, d))), CUTOFFS)
+    m = lab.history_metrics(chain(spark, d), CUTOFFS)
     return m.select("as_of_week", "sku_id", "trailing_52w_revenue", "trailing_52w_pos_units", "active_weeks_52")
 
 
 @query("rolling_4w_activity", "SELECT as_of_week, sku_id, active_4w_windows_52, avg_units_per_4w_52 FROM lab0", "avg_units_per_4w_52", "active_4w_windows_52")
 def _(spark, d):
-    m = lab.history_metrics(wk.chain_weeks(wk.demand_cells(fx.txn(spark, d))), CUTOFFS)
+    m = lab.history_metrics(chain(spark, d), CUTOFFS)
     return m.select("as_of_week", "sku_id", "active_4w_windows_52", "avg_units_per_4w_52")
 
 
@@ -238,21 +247,21 @@ def _(spark, d):
 SELECT as_of_week, sku_id, active_months_104, top3_month_unit_share_104, monthly_cv_104, active_years_104, recurring_active_months_104 FROM lab0""",
        "top3_month_unit_share_104 monthly_cv_104", "active_months_104 active_years_104 recurring_active_months_104")
 def _(spark, d):
-    m = lab.history_metrics(wk.chain_weeks(wk.demand_cells(fx.txn(spark, d))), CUTOFFS)
+    m = lab.history_metrics(chain(spark, d), CUTOFFS)
     return m.select("as_of_week", "sku_id", "active_months_104", "top3_month_unit_share_104", "monthly_cv_104",
                     "active_years_104", "recurring_active_months_104")
 
 
 @query("category_attribution", "SELECT *, 'observed' AS category_signal_status FROM lab_cat")
 def _(spark, d):
-    return lab.category_attribution(wk.demand_cells(fx.txn(spark, d)), CUTOFFS)
+    return lab.category_attribution(cells(spark, d), CUTOFFS)
 
 
 @query("revenue_rank", """
 SELECT as_of_week, sku_id, rev AS trailing_52w_revenue, revenue_rank, cum AS cumulative_revenue_share, top80 AS is_top_80_revenue FROM lab_rank""",
        "trailing_52w_revenue cumulative_revenue_share", "revenue_rank is_top_80_revenue")
 def _(spark, d):
-    return lab.revenue_rank(lab.history_metrics(wk.chain_weeks(wk.demand_cells(fx.txn(spark, d))), CUTOFFS))
+    return lab.revenue_rank(lab.history_metrics(chain(spark, d), CUTOFFS))
 
 
 @query("regime_summary", """
@@ -262,7 +271,7 @@ WITH long AS (SELECT as_of_week, trailing_52w_revenue r, trailing_52w_pos_units
 SELECT g.*, coalesce(revenue / nullif(sum(revenue) OVER (PARTITION BY as_of_week, "grouping"), 0), 0) AS revenue_share FROM g""",
        "revenue units revenue_share", "skus")
 def _(spark, d):
-    return lab.regime_summary(cut_lineage(labelled(cells(spark, d))[1]))
+    return lab.regime_summary(labels_of(spark, d))
 
 
 # ---- naive forecasts, actuals, scores -----------------------------------
@@ -341,23 +350,20 @@ SCORE_N = "headline_eligible business_target_eligible quantity_scored phantom pr
 
 @query("fc_naive_chain", "SELECT * FROM naive_long", "pred_units_4w")
 def _(spark, d):
-    weekly, labels = labelled(cells(spark, d))
-    return sc.to_long(sc.with_naive(labels.select(*sc.KEY), sc.naive_wide(weekly, TARGETS)), sc.NAIVE_MODELS)
+    return sc.to_long(naive_of(spark, d), sc.NAIVE_MODELS)
 
 
 @query("naive_wide", 'SELECT * FROM naive', "zero last4 roll8_mean roll13_mean seasonal52 median_naive")
 def _(spark, d):
     """Long predictions back to one column per model."""
-    weekly, labels = labelled(cells(spark, d))
-    long = sc.to_long(sc.with_naive(labels.select(*sc.KEY), sc.naive_wide(weekly, TARGETS)), sc.NAIVE_MODELS)
+    long = sc.to_long(naive_of(spark, d), sc.NAIVE_MODELS)
     return long.groupBy(*sc.KEY).pivot("model_name", list(sc.NAIVE_MODELS)).agg(F.first("pred_units_4w")).fillna(0.0)
 
 
 @query("actuals_4w", "SELECT * FROM actuals", "actual_pos_units_4w actual_net_units_4w actual_net_revenue_4w",
        "negative_unit_weeks bf_txn_count bf_observed_txn_count bf_inferred_txn_count campaign_observed_txn_count unknown_campaign_label_txn_count")
 def _(spark, d):
-    weekly, labels = labelled(cells(spark, d))
-    return sc.actuals_4w(labels, weekly, TARGETS)
+    return actuals_of(spark, d)
 
 
 @query("score_rows", "SELECT * FROM srows", SCORE_D, SCORE_N + " revenue_rank")
@@ -390,7 +396,6 @@ def _(spark, d):
 SELECT target_start, campaign_bucket, count(*) AS skus, sum(actual_units) AS actual_units FROM srows WHERE model_name = 'zero' GROUP BY ALL""",
        "actual_units", "skus")
 def _(spark, d):
-    weekly, labels = labelled(cells(spark, d))
-    a = sc.actuals_4w(labels, weekly, TARGETS).withColumn("campaign_bucket", sc.campaign_bucket())
+    a = actuals_of(spark, d).withColumn("campaign_bucket", sc.campaign_bucket())
     return a.groupBy("target_start", "campaign_bucket").agg(
         F.count(F.lit(1)).alias("skus"), F.sum("actual_pos_units_4w").alias("actual_units"))

@@ -9,33 +9,29 @@ from stocktide.operators import features as ft
 from stocktide.operators import routes as rt
 from stocktide.operators import score as sc
 from stocktide.operators import stock as sk
-from stocktide.operators import weekly as wk
 from stocktide.plans import fixtures as fx
 from stocktide.plans.fixtures import TARGETS
 from stocktide.plans.oracle import BLOCKS
-from stocktide.plans.q_core import cells, labelled
+from stocktide.plans.q_core import actuals_of, chain, labels_of, naive_of
 from stocktide.plans.registry import query
-from stocktide.session import cut_lineage
 
 
 def stock_tables(spark, d):
     return fx.stock_monthly_store(spark, d), sk.join_name_mapping(fx.supplier_stock_lines(spark, d), fx.sales_names(spark, d))
 
 
-def matrix(spark, d, with_actuals=True):
+def matrix(spark, d):
     """Feature matrix of all targets, all skus."""
-    weekly, labels = labelled(cells(spark, d))
-    labels = cut_lineage(labels)
+    weekly = chain(spark, d)
     store, sup = stock_tables(spark, d)
     return ft.feature_matrix(
-        labels, sc.with_naive(labels.select(*sc.KEY), sc.naive_wide(weekly, TARGETS)), ft.window_features(weekly, TARGETS),
-        ft.campaign_history_features(weekly, TARGETS), sk.stock_features(store, TARGETS), sk.supplier_stock_features(sup, TARGETS),
-        sc.actuals_4w(labels, weekly, TARGETS) if with_actuals else None)
+        labels_of(spark, d), naive_of(spark, d), ft.window_features(weekly, TARGETS), ft.campaign_history_features(weekly, TARGETS),
+        sk.stock_features(store, TARGETS), sk.supplier_stock_features(sup, TARGETS), actuals_of(spark, d))
 
 
 def routed(spark, d):
-    """Feature matrix with routes, written once because several branches read it."""
-    return cut_lineage(rt.add_route_labels(matrix(spark, d)))
+    """Feature matrix with routes; policies, candidates and audits all read it."""
+    return fx.shared(spark, d, "routed", lambda: rt.add_route_labels(matrix(spark, d)))
 
 
 def rat(a, b):
@@ -228,12 +224,12 @@ _TWIN = " ".join(x for x in WIN_COLS)
 
 @query("window_features", "SELECT * FROM win0", _TWIN)
 def _(spark, d):
-    return ft.window_features(wk.chain_weeks(wk.demand_cells(fx.txn(spark, d))), TARGETS)
+    return ft.window_features(chain(spark, d), TARGETS)
 
 
 @query("campaign_history_features", "SELECT * FROM camp0", " ".join(CAMP_COLS) + " days_since_campaign_txn days_since_bf_txn")
 def _(spark, d):
-    return ft.campaign_history_features(wk.chain_weeks(wk.demand_cells(fx.txn(spark, d))), TARGETS)
+    return ft.campaign_history_features(chain(spark, d), TARGETS)
 
 
 @query("stock_features", "SELECT * FROM stk1", " ".join(STK_COLS))
@@ -253,7 +249,7 @@ likely_true_stockout_before_target no_sales_despite_combined_stock sales_with_lo
 
 @query("availability_features", f"SELECT target_start, sku_id, combined_stock_coverage_bucket, {', '.join(_AV.split())} FROM fmx", _AV)
 def _(spark, d):
-    return matrix(spark, d, False).select(*sc.KEY, "combined_stock_coverage_bucket", *_AV.split())
+    return routed(spark, d).select(*sc.KEY, "combined_stock_coverage_bucket", *_AV.split())
 
 
 @query("feature_matrix", f"SELECT {', '.join(FM_COLS)} FROM fmx", " ".join(ft.NUMERIC_FEATURES) + " " + ACT_D,
@@ -268,7 +264,7 @@ SELECT target_start, count(*) AS skus, count(*) FILTER (actual_pos_units_4w >= 4
  avg(combined_stock_observed_prev_month) AS combined_stock_share FROM fmx GROUP BY ALL""",
        "actual_units store_stock_share supplier_stock_share combined_stock_share", "skus scored_rows")
 def _(spark, d):
-    return ft.feature_matrix_audit(matrix(spark, d))
+    return ft.feature_matrix_audit(routed(spark, d))
 
 
 _REASON = "CASE primary_route " + " ".join(f"WHEN '{r[0]}' THEN '{r[1]}'" for r in rt.ROUTES) + " END AS route_reason"
@@ -281,7 +277,7 @@ SELECT target_start, sku_id, primary_route, {_REASON}, {_STATUS}, {_POLICY}, int
  calendar_route_context, sku_bf_contamination_context, zero_week_share_52, avg_demand_interval_weeks_52 FROM rtx""",
        "zero_week_share_52 avg_demand_interval_weeks_52")
 def _(spark, d):
-    return rt.add_route_labels(matrix(spark, d, False)).select(*sc.KEY, *rt.ROUTE_COLUMNS)
+    return routed(spark, d).select(*sc.KEY, *rt.ROUTE_COLUMNS)
 
 
 @query("route_masks", """
@@ -293,13 +289,13 @@ SELECT target_start, count(*) FILTER (primary_route IN ('available_regular', 'pr
  count(*) FILTER (active_weeks_52 >= 24 AND avg_units_per_4w_52 >= 2 AND zs < 0.55 AND intermittency_bucket IN ('regular', 'moderately_intermittent')) AS demand_regular
 FROM rtx GROUP BY ALL""", "", "regular guarded_regular supplier_available campaign stock_constrained bf_calendar demand_regular")
 def _(spark, d):
-    r = rt.add_route_labels(matrix(spark, d, False))
+    r = routed(spark, d)
     return r.groupBy("target_start").agg(*[F.count(F.when(m, 1)).alias(n) for n, m in rt.route_masks().items()])
 
 
 @query("population_filter", "SELECT target_start, sku_id, regime, revenue_rank FROM labels_x WHERE business_target_eligible = 1 AND revenue_rank <= 100", "", "revenue_rank")
 def _(spark, d):
-    return ft.population_filter(labelled(cells(spark, d))[1], "business_target", 100).select(*sc.KEY, "regime", "revenue_rank")
+    return ft.population_filter(labels_of(spark, d), "business_target", 100).select(*sc.KEY, "regime", "revenue_rank")
 
 
 @query("headline_or_proxy", f"""
@@ -307,7 +303,7 @@ SELECT sku_id, count(*) FILTER (pos_units > 0) AS active_weeks, sum(pos_units) A
 WHERE week_start >= DATE '{TARGETS[0]}' - 364 AND week_start < DATE '{TARGETS[0]}' GROUP BY ALL
 HAVING count(*) FILTER (pos_units > 0) >= 12 AND sum(pos_units) >= 26 AND sum(net_revenue) > 0""", "units revenue", "active_weeks")
 def _(spark, d):
-    return ft.headline_or_proxy(None, wk.chain_weeks(wk.demand_cells(fx.txn(spark, d))), TARGETS[0])
+    return ft.headline_or_proxy(None, chain(spark, d), TARGETS[0])
 
 
 _TC = "target_month target_quarter target_weekofyear target_is_q4 target_is_black_friday_month target_is_bf_window target_is_pre_bf_4w target_is_post_bf_4w target_days_from_bf_start target_days_from_bf_end horizon_bf_overlap_days horizon_pre_bf_overlap_days horizon_post_bf_overlap_days"
@@ -456,8 +452,7 @@ LEFT JOIN (SELECT target_start, sku_id, max(num_stores_selling) AS rs FROM wpos
 
 
 def _coverage(spark, d):
-    weekly, labels = labelled(cells(spark, d))
-    return sk.stock_coverage(labels, *stock_tables(spark, d), weekly, TARGETS)
+    return sk.stock_coverage(labels_of(spark, d), *stock_tables(spark, d), chain(spark, d), TARGETS)
 
 
 @query("stock_coverage", "SELECT * FROM scov", "store_prev_qty supplier_prev_qty",

@@ -167,7 +167,7 @@ _SHORT = lambda need: f"CASE WHEN n < {need} THEN 'Insufficient history: ' || n
 def res_sql(src, method, f4, f8, s4, s8, err, fb="0", extra=""):
     e = f"({err}) IS NOT NULL"
     z = fc.Z95
-    c = lambda good, bad: f"round_even(CASE WHEN {e} THEN {bad} ELSE {good} END, 1)"
+    c = lambda good, bad: f"round_even(round(CASE WHEN {e} THEN {bad} ELSE {good} END, 6), 1)"
     return f"""SELECT sku_id, '{method}' AS method, {c(f4, f'({fb}) * 4')} AS forecast_4w, {c(f8, f'({fb}) * 8')} AS forecast_8w,
  {c(f'greatest(0, {f4} - {z} * {s4})', '0')} AS confidence_low_4w, {c(f'{f4} + {z} * {s4}', f'({fb}) * 4 * 2')} AS confidence_high_4w,
  {c(f'greatest(0, {f8} - {z} * {s8})', '0')} AS confidence_low_8w, {c(f'{f8} + {z} * {s8}', f'({fb}) * 8 * 2')} AS confidence_high_8w,
@@ -305,8 +305,9 @@ BLOCKS["fc_all"] = " UNION ALL ".join(f"SELECT {_RC} FROM {b}" for b in ("fc_ns"
 
 
 def methods(spark, d):
-    w = cut_lineage(weekly(spark, d))
-    return w, cut_lineage(fc.all_methods(w, K, cut_lineage(se.fold_series(w, K))))
+    w = fx.shared(spark, d, "series", lambda: weekly(spark, d))
+    f = fx.shared(spark, d, "folded", lambda: se.fold_series(w, K))
+    return w, fx.shared(spark, d, "methods", lambda: fc.all_methods(w, K, f))
 
 
 BLOCKS["ens_l"] = """
@@ -322,7 +323,7 @@ _DIS = lambda h: f"CASE WHEN methods_succeeded < 2 OR avg{h} = 0 THEN 'LOW' WHEN
 
 
 def ens_sql(f4, f8, name, src="ens0"):
-    return f"""SELECT sku_id, round_even(coalesce({f4}, 0), 1) AS forecast_4w, round_even(coalesce({f8}, 0), 1) AS forecast_8w, round_even(confidence_low_4w, 1) AS confidence_low_4w,
+    return f"""SELECT sku_id, round_even(round(coalesce({f4}, 0), 6), 1) AS forecast_4w, round_even(round(coalesce({f8}, 0), 6), 1) AS forecast_8w, round_even(confidence_low_4w, 1) AS confidence_low_4w,
  round_even(confidence_high_4w, 1) AS confidence_high_4w, round_even(confidence_low_8w, 1) AS confidence_low_8w, round_even(confidence_high_8w, 1) AS confidence_high_8w,
  methods_succeeded, methods_failed, {_DIS(4)} AS method_disagreement_4w, {_DIS(8)} AS method_disagreement_8w, '{name}' AS aggregation_method FROM {src}"""
 
@@ -373,10 +374,10 @@ SELECT sku_id, avg(x) FILTER (k <= 4) AS x4, avg(x) AS x8 FROM (SELECT unnest(ra
 
 
 def damp_sql(src):
-    x = lambda c, k: f"CASE WHEN cv > 0.5 THEN round_even({c} * {k}, 1) ELSE {c} END AS {c}"
+    x = lambda c, k: f"CASE WHEN cv > 0.5 THEN round_even(round({c} * {k}, 6), 1) ELSE {c} END AS {c}"
     return f"""SELECT e.sku_id, {x('forecast_4w', 'x4')}, {x('forecast_8w', 'x8')}, {x('confidence_low_4w', 'x4')}, {x('confidence_high_4w', 'x4')}, {x('confidence_low_8w', 'x8')},
  {x('confidence_high_8w', 'x8')}, methods_succeeded, methods_failed, method_disagreement_4w, method_disagreement_8w, aggregation_method, (coalesce(cv, 0) > 0.5)::INT AS seasonal_dampening_applied,
- CASE WHEN cv > 0.5 THEN round(x4, 3) END AS seasonal_multiplier_4w, CASE WHEN cv > 0.5 THEN round(x8, 3) END AS seasonal_multiplier_8w
+ CASE WHEN cv > 0.5 THEN round(round(x4, 6), 3) END AS seasonal_multiplier_4w, CASE WHEN cv > 0.5 THEN round(round(x8, 6), 3) END AS seasonal_multiplier_8w
  FROM {src} e LEFT JOIN prof3 USING (sku_id) LEFT JOIN prof4 USING (sku_id)"""
 
 
