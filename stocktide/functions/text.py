@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,13 +26,13 @@ _DIMENSION = r"(?i)(\d+(?:[.,]\d+)?(?:\s*x\s*\d+(?:[.,]\d+)?){1,2})\s*(?:cm)?"
 
 def clean_text(c: Column) -> Column:
     """Drop BOM, outer space and outer quotes; NULL becomes ''."""
-    c = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "﻿", "")
+    c = F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("\ufeff"), F.lit(""))
     return F.regexp_replace(c, r'^\s*"*\s*|\s*"*\s*$', "")
 
 
 def null_if_empty(c: Column) -> Column:
-    t = clean_text(c)
-    return F.when((t != "") & (F.lower(t) != "#null"), t)
+    """Cleaned text, NULL when it is empty or '#null'."""
+    return F.nullif(F.regexp_replace(clean_text(c), "(?i)^#null$", ""), F.lit(""))
 
 
 def parse_decimal_comma(c: Column) -> Column:
@@ -43,9 +45,23 @@ def discount_fraction(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) <= 1.0), F.abs(c))
 
 
-def parse_date_multi(c: Column, formats: tuple[str, ...] = ("dd.MM.yyyy", "yyyy-MM-dd")) -> Column:
+def parse_date_multi(c: Column, formats: tuple[str, ...] = ("d.M.yyyy", "yyyy-M-d")) -> Column:
+    """First format that gives a valid date.
+
+    The shape is looked at before parsing: a failed parse raises and catches
+    an exception per row, which costs far more than the pattern.
+    """
     t = null_if_empty(c)
-    return F.coalesce(*[F.try_to_date(t, f) for f in formats])
+    tries = []
+    for f in formats:
+        tries.append(F.when(t.rlike(f"^{_shape(f)}$"), F.try_to_date(t, f)))
+    return F.coalesce(*tries)
+
+
+def _shape(fmt: str) -> str:
+    """Pattern of the texts a date format can read."""
+    parts = {"yyyy": r"\d{4}", "MM": r"\d{1,2}", "dd": r"\d{1,2}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
+    return "".join(parts.get(p, re.escape(p)) for p in re.findall(r"yyyy|MM|dd|M|d|[^yMd]", fmt))
 
 
 def yes_no_flag(c: Column) -> Column:

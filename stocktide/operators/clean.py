@@ -49,19 +49,22 @@ def campaign_signals(df: DataFrame) -> DataFrame:
     the dedicated column is direct evidence; a label in the general column can
     be an old one, so it only counts with the sale date behind it.
     """
-    campaign, bf = tx.clean_text(F.col("campaign_raw")), tx.clean_text(F.col("campaign_bf_raw"))
-    year = F.year("sale_date")
-    w0, w1 = cal.parse_campaign_window(bf, year)
+    step = df.withColumns({"_c": tx.clean_text(F.col("campaign_raw")), "_b": tx.clean_text(F.col("campaign_bf_raw")), "_y": F.year("sale_date")})
+    campaign, year = F.col("_c"), F.col("_y")
+    step = step.withColumns({"_bf": F.col("_b").rlike(_BF), "_label": campaign.rlike(_BF)})
+    # only the few labelled lines pay for reading the window and the years out of the text
+    w0, w1 = cal.parse_campaign_window(F.col("_b"), year)
     k0, k1 = cal.bf_window_signal(year)
     years = F.regexp_extract_all(campaign, F.lit(_YEAR), F.lit(1))
-    step = df.withColumns({
-        "_bf": bf.rlike(_BF),
-        "_label": campaign.rlike(_BF),
-        "_named": w0.isNotNull(),
-        "_inside": F.col("sale_date").between(w0, w1),
-        "_season": F.col("sale_date").between(k0, k1),
-        "_fresh": campaign.rlike(_BF) & ((F.size(years) == 0) | F.array_contains(years, year.cast("string"))),
-        "_bf_year": bf.rlike(_YEAR),
+    step = step.withColumns({
+        "_w0": F.when(F.col("_bf"), w0), "_w1": F.when(F.col("_bf"), w1),
+        "_season": (F.month("sale_date").between(11, 12)) & F.col("sale_date").between(k0, k1),
+        "_years": F.when(F.col("_label"), years),
+    })
+    step = step.withColumns({
+        "_named": F.col("_w0").isNotNull(), "_inside": F.col("sale_date").between(F.col("_w0"), F.col("_w1")),
+        "_fresh": F.col("_label") & ((F.size("_years") == 0) | F.array_contains("_years", year.cast("string"))),
+        "_bf_year": F.col("_b").rlike(_YEAR),
         "campaign_signal_status": F.when(campaign != "", "observed").otherwise("unknown"),
         "campaign_signal_source": F.when(campaign != "", "campaign_raw").otherwise("unknown"),
         "is_product_program": F.upper(campaign).rlike("|".join(PROGRAM_LABELS)).cast("int"),
@@ -90,7 +93,8 @@ def campaign_signals(df: DataFrame) -> DataFrame:
         "is_bf_observed": observed.cast("int"),
         "is_bf_inferred": inferred.cast("int"),
         "bf_signal_status": F.when(observed, "observed").when(inferred, "inferred").otherwise("unknown"),
-    }).drop("_bf", "_label", "_named", "_inside", "_season", "_fresh", "_bf_year")
+    }).drop(
+        "_c", "_b", "_y", "_bf", "_label", "_w0", "_w1", "_years", "_named", "_inside", "_season", "_fresh", "_bf_year")
 
 
 def store_lookup(df: DataFrame, stores: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocktide.functions.text import clean_text, strip_accents
+from stocktide.session import broadcast_if_small
 
 UNKNOWN = "NECUNOSCUT"
 # Text that names a sales channel, not a product group.
@@ -89,64 +90,76 @@ def _key(c: Column) -> Column:
     return strip_accents(clean_text(c))
 
 
-def _bare(c: Column) -> Column:
+def _bare(key: Column) -> Column:
     """Key without the leading numeric code and the word TOTAL."""
-    return F.regexp_replace(F.trim(F.regexp_replace(_key(c), r"^\d{1,4}\s+", "")), r"^TOTAL\s+", "")
+    return F.regexp_replace(F.regexp_replace(key, r"^\d{1,4}\s+", ""), r"^TOTAL\s+", "")
 
 
-def map_category(c: Column) -> Column:
-    bare = _bare(c)
-    out = F.when(~_key(c).isin(*JUNK_VALUES) & bare.isin(*EXACT_CATEGORIES["ACCESORII"]), "ACCESORII")
-    for category, names in list(EXACT_CATEGORIES.items())[1:]:
+def map_category(key: Column, bare: Column) -> Column:
+    out = F.when(key.isin(*JUNK_VALUES), F.lit(None).cast("string"))
+    for category, names in EXACT_CATEGORIES.items():
         out = out.when(bare.isin(*names), category)
     for category, words in CATEGORY_WORDS:
         out = out.when(bare.rlike("|".join(words)), category)
     return out
 
 
-def map_family(c: Column) -> Column:
-    bare = F.trim(_bare(c))
-    renamed = F.coalesce(F.create_map(*[F.lit(x) for kv in FAMILY_NAMES.items() for x in kv])[bare], bare)
-    bad = _key(c).isin(*JUNK_VALUES) | bare.isin(*JUNK_VALUES) | bare.isin(*CHANNEL_VALUES)
-    return F.when(~bad, renamed)
+def map_family(key: Column, bare: Column) -> Column:
+    bad = key.isin(*JUNK_VALUES) | bare.isin(*JUNK_VALUES) | bare.isin(*CHANNEL_VALUES)
+    out = F.when(bad, F.lit(None).cast("string"))
+    for name, target in FAMILY_NAMES.items():
+        out = out.when(bare == name, target)
+    return out.otherwise(bare)
 
 
-def _first(pairs: list[tuple[str, Column]]) -> tuple[Column, Column]:
-    value = F.coalesce(*[c for _, c in pairs])
-    source = F.when(pairs[0][1].isNotNull(), pairs[0][0])
-    for name, c in pairs[1:]:
-        source = source.when(c.isNotNull(), name)
-    return value, source
+FIELDS = RAW_COLUMNS[:5]
+FAMILY_ORDER = ("group_raw", "subclass_raw", "class_raw", "category_raw", "raion_raw")
+
+
+def hierarchy_table(raw: DataFrame) -> DataFrame:
+    """Category and family of every distinct raw hierarchy tuple.
+
+    The names are unfolded to one row per field, so each rule stands once in
+    the plan; the first field with a result wins.
+    """
+    t = raw.select(*FIELDS).distinct()
+    long = t.select("*", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("_f"), F.lit(i).alias("_c"), F.lit(FAMILY_ORDER.index(f)).alias("_p"), _key(F.col(f)).alias("_key"))
+        for i, f in enumerate(FIELDS)])))
+    channel = (F.col("_f") == "raion_raw") & F.col("_key").isin(*CHANNEL_VALUES)
+    long = long.where(~channel).withColumn("_bare", _bare(F.col("_key")))
+    long = long.withColumns({"_cat": map_category(F.col("_key"), F.col("_bare")), "_fam": map_family(F.col("_key"), F.col("_bare"))})
+    first = lambda v, order: F.min(F.when(F.col(v).isNotNull(), F.struct(F.col(order).alias("o"), F.col(v).alias("v"), F.col("_f").alias("s"))))
+    g = long.groupBy(*FIELDS).agg(first("_cat", "_c").alias("c"), first("_fam", "_p").alias("f"))
+    return g.select(*FIELDS, F.col("c.v").alias("_cat"), F.col("c.s").alias("_cat_src"), F.col("f.v").alias("_fam"), F.col("f.s").alias("_fam_src"))
 
 
 def hierarchy_columns(df: DataFrame) -> DataFrame:
     """Add the six hierarchy result columns.
 
-    The rules are plain row expressions: no shuffle of the lines, and a raw
-    tuple that is on very many lines costs nothing extra. To look at the raw
-    names alone, call it on their distinct rows.
+    The rules run once per distinct raw tuple, not once per line. The table of
+    tuples is written, counted and only broadcast when it is small; otherwise
+    an ordinary join runs and AQE splits a tuple that is on very many lines.
+    The product name is only looked at on lines where no field gave a category.
     """
     t = df.drop(*RESULT_COLUMNS)
     for c in RAW_COLUMNS:
         if c not in t.columns:
             t = t.withColumn(c, F.lit(None).cast("string"))
-    fields = RAW_COLUMNS[:5]
-    keep = [c for c in t.columns]
-    t = t.withColumn("_aisle", F.when(~_key(F.col("raion_raw")).isin(*CHANNEL_VALUES), F.col("raion_raw")))
-    src = {f: F.col("_aisle") if f == "raion_raw" else F.col(f) for f in fields}
-    t = t.withColumns({f"_c_{f}": map_category(src[f]) for f in fields} | {f"_f_{f}": map_family(src[f]) for f in fields})
-    cat, cat_src = _first([(f, F.col(f"_c_{f}")) for f in fields])
-    fam, fam_src = _first([
-        (f, F.col(f"_f_{f}")) for f in ("group_raw", "subclass_raw", "class_raw", "category_raw", "raion_raw")])
-    t = t.withColumns({
-        "_cat": cat, "_cat_src": cat_src, "_fam": fam, "_fam_src": fam_src,
-        "_c_name": F.when(cat.isNull(), map_category(F.col("product_name"))),
-    })
+    keep = list(t.columns)
+    table = hierarchy_table(t).select(*[F.col(f).alias(f"_t_{f}") for f in FIELDS], "_cat", "_cat_src", "_fam", "_fam_src")
+    table = broadcast_if_small(table)
+    same = F.lit(True)
+    for f in FIELDS:
+        same = same & F.col(f).eqNullSafe(F.col(f"_t_{f}"))
+    t = t.join(table, same, "left").drop(*[f"_t_{f}" for f in FIELDS])
+    t = t.withColumn("_n_key", F.when(F.col("_cat").isNull(), _key(F.col("product_name"))))
+    t = t.withColumn("_n_bare", _bare(F.col("_n_key")))
+    t = t.withColumn("_n_cat", F.when(F.col("_n_key").isNotNull(), map_category(F.col("_n_key"), F.col("_n_bare"))))
     t = t.withColumns({
-        "category_norm": F.coalesce("_cat", "_c_name", F.lit(UNKNOWN)),
-        "category_source": F.coalesce("_cat_src", F.when(F.col("_c_name").isNotNull(), "product_name"), F.lit("unknown")),
-        "category_signal_status": F.when(F.col("_cat").isNotNull(), "observed")
-        .when(F.col("_c_name").isNotNull(), "inferred").otherwise("unknown"),
+        "category_norm": F.coalesce("_cat", "_n_cat", F.lit(UNKNOWN)),
+        "category_source": F.coalesce("_cat_src", F.when(F.col("_n_cat").isNotNull(), "product_name"), F.lit("unknown")),
+        "category_signal_status": F.when(F.col("_cat").isNotNull(), "observed").when(F.col("_n_cat").isNotNull(), "inferred").otherwise("unknown"),
     })
     return t.select(
         *keep, *RESULT_COLUMNS[:3],

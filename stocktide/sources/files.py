@@ -169,7 +169,7 @@ def load_retail(sales: DataFrame, inventory: DataFrame, orders: DataFrame, suppl
     o = F.struct(*order)
     s = lambda c: tx.null_if_empty(F.col(c))
     n = lambda c: F.coalesce(F.trim(c).try_cast("double"), F.lit(0.0))
-    d = lambda c: tx.parse_date_multi(F.col(c), ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy"))
+    d = lambda c: tx.parse_date_multi(F.col(c), ("yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy"))
     inv = inventory.select(s("sku_id").alias("sku_id"), s("store_id").alias("store_id"), s("supplier_id").alias("supplier_id"),
                            n("units_in_stock").alias("units_in_stock"), d("last_delivery_date").alias("last_delivery_date"), o.alias("_o"))
     owner = inv.where("sku_id IS NOT NULL AND supplier_id IS NOT NULL").groupBy("sku_id").agg(F.max_by("supplier_id", "_o").alias("supplier_id"))
