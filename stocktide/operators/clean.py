@@ -150,7 +150,7 @@ def normalize_sales(raw: DataFrame, stores: DataFrame, loyalty_header: str | Non
     Rows without a sale date, sku or store are dropped. Lineage columns
     (source_file, source_row_number, raw_row_json) are carried along if present.
     """
-    carry = [c for c in ("source_file", "source_row_number", "raw_row_json") if c in raw.columns]
+    carry = [c for c in ("source_file", "source_block", "source_row_number", "raw_row_json") if c in raw.columns]
     loyalty = F.col(f"`{loyalty_header}`") if loyalty_header in raw.columns else F.lit(None).cast("string")
     out = raw.select(
         *carry,
