@@ -255,10 +255,8 @@ def method_weights(scores: DataFrame, holdout: list[str], floor: float = 0.05) -
     g = scores.where(~F.col("window").isin(*holdout)).groupBy("method").agg(F.avg("wmape").alias("mean_wmape"))
     g = g.where(F.col("mean_wmape").isNotNull())
     raw = F.greatest(F.pow(positive(1.0 - F.col("mean_wmape")), F.lit(2)), F.lit(floor))
-    total = g.select(raw.alias("_r")).agg(F.sum("_r").alias("_t"))
-    # one row per method; the total is a single row
-    return g.withColumn("raw_weight", raw).join(F.broadcast(total)).select(
-        "method", "mean_wmape", "raw_weight", (F.col("raw_weight") / F.col("_t")).alias("weight"))
+    total = g.select(raw.alias("_r")).agg(F.sum("_r")).scalar()
+    return g.withColumn("raw_weight", raw).select("method", "mean_wmape", "raw_weight", (F.col("raw_weight") / total).alias("weight"))
 
 
 def method_bias(scores: DataFrame, holdout: list[str], cap: float = 0.30) -> DataFrame:

@@ -326,8 +326,7 @@ def monthly_profiles(weekly: DataFrame, keys: list[str], value: str = "units") -
 
 def seasonal_dampen(ensemble: DataFrame, weekly: DataFrame, keys: list[str], value: str = "units") -> DataFrame:
     """Multiply the forecasts of seasonal keys by the mean monthly multiplier of the weeks ahead."""
-    last = weekly.groupBy().agg(F.max("week_start").alias("_last"))
-    prof = monthly_profiles(weekly, keys, value).join(F.broadcast(last))  # a single-row maximum
+    prof = monthly_profiles(weekly, keys, value).withColumn("_last", weekly.agg(F.max("week_start")).scalar())
     ahead = lambda h: mean(F.transform(F.sequence(F.lit(1), F.lit(h)), lambda k: F.element_at("multipliers", F.month(F.date_add(F.col("_last"), k * 7)))))
     prof = prof.select(*keys, "is_seasonal", "seasonal_cv", ahead(4).alias("_x4"), ahead(8).alias("_x8"))
     out = ensemble.join(prof, keys, "left")

@@ -139,8 +139,7 @@ def anomaly_flags(grid: DataFrame, keys: list[str], value: str = "units") -> Dat
 
 def recency_split(weekly: DataFrame, keys: list[str], value: str = "units", weeks: int = 10) -> tuple[DataFrame, DataFrame]:
     """(active rows, silent keys): silent when nothing was sold in the last ten weeks of the data."""
-    last = weekly.groupBy().agg(F.max("week_start").alias("_last"))
-    marked = weekly.join(F.broadcast(last))  # a single-row maximum
+    marked = weekly.withColumn("_last", weekly.agg(F.max("week_start")).scalar())
     g = marked.groupBy(*keys).agg(F.coalesce(F.sum(
         F.when(F.datediff("_last", "week_start") < 7 * weeks, F.col(value))), F.lit(0.0)).alias("_recent"))
     silent = g.where(F.col("_recent") <= 0).select(*keys)

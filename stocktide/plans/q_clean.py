@@ -308,8 +308,7 @@ def tiers(spark, d):
         t = fx.products(fx.txn(spark, d, stores=False)).where(F.col("week_start") <= F.lit("2001-07-23").cast("date"))
         w = t.groupBy("sku_id", "week_start").agg(F.sum("net_revenue").alias("r"), F.max("category_norm").alias("c"))
         g = w.groupBy("sku_id").agg(F.max("c").alias("category"), F.sum("r").alias("revenue"), F.count(F.lit(1)).alias("weeks_with_rows"))
-        total = w.select("week_start").distinct().agg(F.count(F.lit(1)).alias("weeks_in_data"))
-        weeks = g.select("sku_id", "weeks_with_rows").join(F.broadcast(total))  # a single-row count
+        weeks = g.select("sku_id", "weeks_with_rows", w.select("week_start").distinct().agg(F.count(F.lit(1))).scalar().alias("weeks_in_data"))
         return lab.abc_tiers(g.select("sku_id", "category", "revenue"), weeks)
     return fx.shared(spark, d, "tiers", build)
 
