@@ -175,10 +175,15 @@ def mean(a: Column) -> Column:
 
 
 def sample_std(a: Column) -> Column:
-    """Sample standard deviation of an array, 0 for fewer than two values."""
-    m = mean(a)
-    ss = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
-    return F.when(F.size(a) > 1, F.sqrt(ss / (F.size(a) - 1))).otherwise(0.0)
+    """Sample standard deviation of an array in one pass, 0 for fewer than two values."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+
+    def step(s, x):
+        m = s["m"] + (x - s["m"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), m.alias("m"), (s["q"] + (x - s["m"]) * (x - m)).alias("q"))
+
+    sd = F.aggregate(a, zero, step, lambda s: F.sqrt(s["q"] / (s["n"] - 1)))
+    return F.when(F.size(a) > 1, sd).otherwise(0.0)
 
 
 def median(a: Column) -> Column:
