@@ -80,3 +80,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
+
+
+def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows of each value of ``label`` (all where there are fewer), fixed by a hash of ``key``.
+
+    The size bound is what allows a model to be fitted and broadcast.
+    """
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("class_size"))
+    share = F.lit(float(per_class)) / F.col("class_size")
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.join(F.broadcast(sizes), label).where(place < share).drop("class_size")
+
+
+def learning_texts(docs: DataFrame, labelled: DataFrame, label: str, per_class: int) -> DataFrame:
+    """``(text, label)`` of a bounded sample of the labelled ``(doc_id, label)`` rows that may be learned from."""
+    usable = labelled.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
+    usable = usable.groupBy("doc_id").agg(F.max(label).alias(label))
+    picked = bounded_sample(usable, label, "doc_id", per_class)
+    texts = docs.select(F.col("doc_id"), text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id")
+    return texts.select("text", label)

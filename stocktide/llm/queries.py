@@ -27,3 +27,11 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     from stocktide.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, d, "documents"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    from stocktide.llm import toxicity
+
+    docs = table(spark, d, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
