@@ -35,3 +35,10 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
+
+
+@query("op9_secret_scan")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    from stocktide.llm import secret_scan
+
+    return secret_scan.digests(secret_scan.scan(table(spark, d, "documents").select("doc_id", "text")))
