@@ -3,10 +3,12 @@
 Two fingerprints are linked when they differ in few bits. The 64 bits are cut
 into 32 segments of two; the bit counts of the segments are a point in a grid,
 and the Manhattan distance of two points never exceeds the Hamming distance of
-the fingerprints. Of a distance of at most 4, one half of the grid holds at most
-2, so two linked points meet in a cell at Manhattan distance at most 1 from both
-of them in that half. Every point is sent to those cells (about 25 in each half);
-what meets in a cell is tested by the Manhattan bound and then exactly.
+the fingerprints. The segments form three blocks; of a distance of at most 4,
+some two blocks hold at most 2, so two linked points meet in a cell at Manhattan
+distance at most 1 from both of them in those two blocks. Every point is sent to
+these cells (about 33 for each pair of blocks); what meets in a cell is tested
+by the Manhattan bound and then exactly. Unrelated fingerprints meet in a cell
+with a probability below one in a million.
 
 A cell that holds more than ``CELL`` points (thousands of near copies) is not
 paired. All its points take another exact way: two fingerprints differ in at
@@ -76,22 +78,33 @@ def _thermometer(fp: Column) -> Column:
     return low.bitwiseOR(F.shiftleft(high, 1))
 
 
-def _cells(t: Column) -> Column:
-    """Grid cells of one 32-bit half within Manhattan distance 1, the point's own first."""
-    cells = [t]
-    for k in range(16):
-        low, high = F.lit(1 << (2 * k)), F.lit(2 << (2 * k))
-        has_low, has_high = t.bitwiseAND(low) != 0, t.bitwiseAND(high) != 0
-        cells.append(F.when(~has_high, t.bitwiseXOR(low)))  # 0 <-> 1
-        cells.append(F.when(has_low, t.bitwiseXOR(high)))  # 1 <-> 2
-    return F.filter(F.array(*cells), lambda c: c.isNotNull())
+#: Segments of the three blocks, and the pairs of blocks that form a grid.
+BLOCKS = (range(0, 11), range(11, 22), range(22, 32))
+GRIDS = ((0, 1), (0, 2), (1, 2))
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >= 1 << 63 else bits
+
+
+def _grid_cells(t: Column, grid: int) -> Column:
+    """Cells of one grid within Manhattan distance 1 of a point, with the point's place in the grid."""
+    segments = [k for block in GRIDS[grid] for k in BLOCKS[block]]
+    at = t.bitwiseAND(F.lit(_signed(sum(3 << (2 * k) for k in segments))))
+    cells = [at]
+    for k in segments:
+        low, high = F.lit(_signed(1 << (2 * k))), F.lit(_signed(2 << (2 * k)))
+        cells.append(F.when(t.bitwiseAND(high) == 0, at.bitwiseXOR(low)))  # 0 <-> 1
+        cells.append(F.when(t.bitwiseAND(low) != 0, at.bitwiseXOR(high)))  # 1 <-> 2
+    inside = F.filter(F.array(*cells), lambda c: c.isNotNull())
+    return F.transform(inside, lambda c: F.struct(F.lit(grid).cast("byte").alias("grid"), at.alias("at"), c.alias("cell")))
 
 
 def _ball(fp: Column) -> Column:
     """All values that differ from ``fp`` in at most two bits."""
     one = [1 << k for k in range(64)]
     masks = [0, *one, *(a | b for a, b in combinations(one, 2))]
-    signed = F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m) for m in masks])
+    signed = F.array(*[F.lit(_signed(m)) for m in masks])
     return F.transform(signed, lambda m: fp.bitwiseXOR(m))
 
 
@@ -102,23 +115,17 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
     points of fuller cells come out with enough edges to connect what is linked.
     """
     t = _thermometer(F.col("fp"))
-    half = F.lit((1 << 32) - 1)
-    points = distinct.select("fp", F.explode(F.array(
-        F.struct(F.lit(0).alias("half"), t.bitwiseAND(half).alias("at")),
-        F.struct(F.lit(1).alias("half"), F.shiftrightunsigned(t, 32).alias("at")),
-    )).alias("p"))
-    sent = points.select(
-        "fp", (F.col("p.half") == 1).alias("upper"), F.col("p.at").alias("at"), F.explode(_cells(F.col("p.at"))).alias("cell")
-    ).withColumn("cell", F.col("cell").bitwiseOR(F.when(F.col("upper"), F.lit(1 << 33)).otherwise(F.lit(0))))
-    sizes = sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = sent.join(sizes, "cell")
-    a, b = met.where(F.col("n") <= cell).drop("n").alias("a"), met.where(F.col("n") <= cell).drop("n").alias("b")
+    sent = distinct.select("fp", F.explode(F.concat(*[_grid_cells(t, g) for g in range(len(GRIDS))])).alias("c")).select("fp", "c.*")
+    sizes = sent.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = sent.join(sizes.hint("merge"), ["grid", "cell"])
+    few = met.where(F.col("n") <= cell).drop("n")
+    a, b = few.alias("a"), few.alias("b")
     apart = F.bit_count(F.col("a.at").bitwiseXOR(F.col("b.at")))
     bound = F.bit_count(_thermometer(F.col("a.fp")).bitwiseXOR(_thermometer(F.col("b.fp"))))
     exact = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
-    own = F.col("a.cell").bitwiseAND(half) == F.col("a.at")  # of the cells that two points share, use one
-    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
-                   & ((apart == 2) | own) & (bound <= MAX_BITS) & (exact <= MAX_BITS))
+    own = F.col("a.cell") == F.col("a.at")  # of the cells that two points share, use one
+    pairs = a.join(b.hint("merge"), (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell"))
+                   & (F.col("a.fp") < F.col("b.fp")) & ((apart == 2) | own) & (bound <= MAX_BITS) & (exact <= MAX_BITS))
     pairs = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     crowded = met.where(F.col("n") > cell).select("fp").distinct()
     ball = crowded.select("fp", F.explode(_ball(F.col("fp"))).alias("value"))
