@@ -42,3 +42,11 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
     from stocktide.llm import secret_scan
 
     return secret_scan.digests(secret_scan.scan(table(spark, d, "documents").select("doc_id", "text")))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    from stocktide.llm import language_id
+
+    docs = table(spark, d, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
