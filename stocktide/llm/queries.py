@@ -50,3 +50,23 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents")
     return language_id.predict(docs, language_id.fit(docs))
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    from stocktide.llm.packing import pack
+
+    return pack(table(spark, d, "documents"))
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every document before and after long digit runs are masked."""
+    from pyspark.sql import functions as F
+
+    from stocktide.llm.secret_scan import Rule, scan
+    from stocktide.llm.token_count import count_tokens
+
+    docs = scan(table(spark, d, "documents").select("doc_id", "text"), (Rule("digits", "[0-9]+", 0, 6),))
+    edits = F.transform("secret_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("[NUMBER]").alias("replacement")))
+    return count_tokens(docs, edits)
