@@ -70,3 +70,10 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
     docs = scan(table(spark, d, "documents").select("doc_id", "text"), (Rule("digits", "[0-9]+", 0, 6),))
     edits = F.transform("secret_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("[NUMBER]").alias("replacement")))
     return count_tokens(docs, edits)
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    from stocktide.llm.html_text import main_text
+
+    return main_text(table(spark, d, "pages"))
