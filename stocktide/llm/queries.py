@@ -77,3 +77,10 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
     from stocktide.llm.html_text import main_text
 
     return main_text(table(spark, d, "pages"))
+
+
+@query("op5_embedding_near_dedup")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    from stocktide.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, d, "embeddings"))
