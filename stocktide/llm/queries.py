@@ -84,3 +84,10 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     from stocktide.llm.embedding_dedup import near_duplicates
 
     return near_duplicates(table(spark, d, "embeddings"))
+
+
+@query("op2_benchmark_decontamination")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    from stocktide.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import connected_components, staged
+from stocktide.llm.common import connected_components, shuffle_partitions, staged
 
 #: Most fingerprints of a grid cell that are compared pair by pair.
 CELL = 512
@@ -78,26 +78,84 @@ def _thermometer(fp: Column) -> Column:
     return low.bitwiseOR(F.shiftleft(high, 1))
 
 
-#: Segments of the three blocks, and the pairs of blocks that form a grid.
-BLOCKS = (range(0, 11), range(11, 22), range(22, 32))
-GRIDS = ((0, 1), (0, 2), (1, 2))
+#: Segments of a grid: those of two of the three blocks 0-10, 11-21, 22-31.
+GRIDS = ((*range(0, 22),), (*range(0, 11), *range(22, 32)), (*range(11, 32),))
 
 
 def _signed(bits: int) -> int:
     return bits - (1 << 64) if bits >= 1 << 63 else bits
 
 
-def _grid_cells(t: Column, grid: int) -> Column:
-    """Cells of one grid within Manhattan distance 1 of a point, with the point's place in the grid."""
-    segments = [k for block in GRIDS[grid] for k in BLOCKS[block]]
-    at = t.bitwiseAND(F.lit(_signed(sum(3 << (2 * k) for k in segments))))
+def _sent(t: Column, grid: int) -> Column:
+    """Keys of the cells of one grid within Manhattan distance 1 of a point; the grid's number is in the top bits."""
+    low22, high20 = F.lit((1 << 22) - 1), F.shiftrightunsigned(t, 44)
+    at = (
+        t.bitwiseAND(F.lit((1 << 44) - 1)),
+        t.bitwiseAND(low22).bitwiseOR(F.shiftleft(high20, 22)),
+        F.shiftrightunsigned(t, 22),
+    )[grid].bitwiseOR(F.lit(grid << 60))
     cells = [at]
-    for k in segments:
-        low, high = F.lit(_signed(1 << (2 * k))), F.lit(_signed(2 << (2 * k)))
-        cells.append(F.when(t.bitwiseAND(high) == 0, at.bitwiseXOR(low)))  # 0 <-> 1
-        cells.append(F.when(t.bitwiseAND(low) != 0, at.bitwiseXOR(high)))  # 1 <-> 2
-    inside = F.filter(F.array(*cells), lambda c: c.isNotNull())
-    return F.transform(inside, lambda c: F.struct(F.lit(grid).cast("byte").alias("grid"), at.alias("at"), c.alias("cell")))
+    for k in range(len(GRIDS[grid])):
+        low, high = F.lit(1 << (2 * k)), F.lit(2 << (2 * k))
+        cells.append(F.when(at.bitwiseAND(high) == 0, at.bitwiseXOR(low)))  # 0 <-> 1
+        cells.append(F.when(at.bitwiseAND(low) != 0, at.bitwiseXOR(high)))  # 1 <-> 2
+    return F.filter(F.array(*cells), lambda c: c.isNotNull())
+
+
+def _meet(cell: int):
+    """Streams rows sorted by key: pairs of fingerprints that meet and are close, or (fp, null) where a cell is too full."""
+
+    def thermometer(fp: np.ndarray) -> np.ndarray:
+        bits = np.uint64(LOW_BITS)
+        return ((fp | (fp >> np.uint64(1))) & bits) | ((fp & (fp >> np.uint64(1)) & bits) << np.uint64(1))
+
+    def pairs(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        points, apart = thermometer(fps), 1
+        at = np.flatnonzero(keys[1:] == keys[:-1])
+        while len(at):
+            near = at[np.bitwise_count(points[at] ^ points[at + apart]) <= MAX_BITS]  # Manhattan distance: a lower bound
+            near = near[np.bitwise_count(fps[near] ^ fps[near + apart]) <= MAX_BITS]
+            if len(near):
+                yield fps[near], fps[near + apart]
+            apart += 1
+            at = at[at + apart < len(keys)]
+            at = at[keys[at] == keys[at + apart]]
+
+    def batch(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        second = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), second], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps, full = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        for b in batches:
+            keys = np.concatenate([keys, b.column(0).to_numpy()])
+            fps = np.concatenate([fps, b.column(1).to_numpy().view(np.uint64)])
+            last = np.searchsorted(keys, keys[-1])  # the last cell may go on in the next batch
+            whole_keys, whole = keys[:last], fps[:last]
+            keys, fps = keys[last:], fps[last:]
+            if len(whole):
+                _, start, size = np.unique(whole_keys, return_index=True, return_counts=True)
+                crowded = np.repeat((size > cell) | (whole_keys[start] == full), size) if full is not None else np.repeat(size > cell, size)
+                if crowded.any():
+                    yield batch(whole[crowded], None)
+                for found in pairs(whole_keys[~crowded], whole[~crowded]):
+                    yield batch(*found)
+                full = None
+            if len(keys) > cell:  # nothing of a crowded cell is kept
+                full = keys[0]
+                yield batch(fps, None)
+                keys, fps = keys[:0], fps[:0]
+            elif full is not None and len(keys) and keys[0] == full:
+                yield batch(fps, None)
+                keys, fps = keys[:0], fps[:0]
+        if len(keys):
+            if len(keys) > cell or keys[0] == full:
+                yield batch(fps, None)
+            else:
+                for found in pairs(keys, fps):
+                    yield batch(*found)
+
+    return run
 
 
 def _ball(fp: Column) -> Column:
@@ -114,20 +172,13 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
     Pairs that meet in cells of at most ``cell`` points come out whole; the
     points of fuller cells come out with enough edges to connect what is linked.
     """
+    partitions = shuffle_partitions(distinct.sparkSession)
     t = _thermometer(F.col("fp"))
-    sent = distinct.select("fp", F.explode(F.concat(*[_grid_cells(t, g) for g in range(len(GRIDS))])).alias("c")).select("fp", "c.*")
-    sizes = sent.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = sent.join(sizes.hint("merge"), ["grid", "cell"])
-    few = met.where(F.col("n") <= cell).drop("n")
-    a, b = few.alias("a"), few.alias("b")
-    apart = F.bit_count(F.col("a.at").bitwiseXOR(F.col("b.at")))
-    bound = F.bit_count(_thermometer(F.col("a.fp")).bitwiseXOR(_thermometer(F.col("b.fp"))))
-    exact = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
-    own = F.col("a.cell") == F.col("a.at")  # of the cells that two points share, use one
-    pairs = a.join(b.hint("merge"), (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell"))
-                   & (F.col("a.fp") < F.col("b.fp")) & ((apart == 2) | own) & (bound <= MAX_BITS) & (exact <= MAX_BITS))
-    pairs = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    crowded = met.where(F.col("n") > cell).select("fp").distinct()
+    sent = distinct.repartition(partitions).select(F.explode(F.concat(*[_sent(t, g) for g in range(3)])).alias("key"), "fp")
+    met = sent.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_meet(cell), "a long, b long")
+    met = staged(met.distinct())
+    pairs = met.where("b is not null")
+    crowded = met.where("b is null").select(F.col("a").alias("fp"))
     ball = crowded.select("fp", F.explode(_ball(F.col("fp"))).alias("value"))
     low = ball.groupBy("value").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("value", "low")
     star = ball.join(low, "value").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
