@@ -91,3 +91,10 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
     from stocktide.llm.decontamination import find_leaks
 
     return find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    from stocktide.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, d, "documents")).drop("kept")
