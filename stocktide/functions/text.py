@@ -102,8 +102,8 @@ def extract_dimensions(name: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """Stable two-decimal text of a measure, for keys."""
-    return F.format_string("%.2f", c)
+    """Text of the whole value of a measure, for keys: different values never share one."""
+    return c.cast("string")
 
 
 def transaction_key(store, invoice, order, sku, sale_date, value, quantity, name) -> Column:

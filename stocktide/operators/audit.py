@@ -63,6 +63,14 @@ def compare_models(rows: DataFrame, candidate: str, baseline: str, slices: Colum
         *[(at(candidate, f) - at(baseline, f)).alias(f"{f}_delta") for f in fields])
 
 
+def compare_to_baseline(rows: DataFrame, baseline: str) -> DataFrame:
+    """Hit and WMAPE deltas of every other model against one, from one grouped pass over the rows."""
+    m = rows.groupBy("model_name").agg(*metric_aggregates())
+    base = m.where(F.col("model_name") == baseline).select(F.col("hit20").alias("_h"), F.col("wmape").alias("_w"))
+    others = m.where(F.col("model_name") != baseline).crossJoin(F.broadcast(base))  # one row
+    return others.select(F.col("model_name").alias("candidate"), (F.col("hit20") - F.col("_h")).alias("hit20_delta"), (F.col("wmape") - F.col("_w")).alias("wmape_delta"))
+
+
 def zero_actual_metrics(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("actual_units") == 0).groupBy("model_name").agg(
         F.count(F.lit(1)).alias("row_count"), F.avg("phantom").alias("phantom_rate"), F.avg("pred_sale").alias("pred_sale_rate"),

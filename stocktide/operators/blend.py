@@ -16,6 +16,9 @@ from stocktide.operators.score import KEY, error_columns, metric_aggregates
 SIMPLEX = [(i / 10, j / 10, (10 - i - j) / 10) for i in range(11) for j in range(11 - i)]
 FACTORS = [round(0.5 + 0.05 * i, 2) for i in range(21)]
 FLOORS = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0)
+# Calibration points, percent (and fewest units).
+PRE_WINDOW_LIFTS = ((130, 3), (140, 3), (150, 3), (160, 3), (180, 3), (200, 3), (150, 5), (180, 5))
+WINTER_FREE_LIFTS = (150, 180)
 GROUP_RULES = (("sku", "sku_id", 8.0, 2), ("family", "product_family_v2", 25.0, 8), ("category", "category_norm", 60.0, 20))
 
 
@@ -49,7 +52,8 @@ def choose_weights(train: DataFrame, targets: list[dt.date], min_train: int = 4)
     """
     grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("w_last4"), F.lit(b).alias("w_roll13"), F.lit(c).alias("w_seasonal"))
                      for i, (a, b, c) in enumerate(SIMPLEX)])
-    rows = train.select("target_start", "actual_units", "last4", "roll13_mean", "seasonal52", F.inline(grid))
+    scored = train.where("actual_units >= 4.0")  # no other row counts
+    rows = scored.select("target_start", "actual_units", "last4", "roll13_mean", "seasonal52", F.inline(grid))
     pred = positive(weighted_base())
     sums = rows.groupBy("target_start", "i", "w_last4", "w_roll13", "w_seasonal").agg(*scored_sums(pred, F.col("actual_units")))
     sums = add_up(sums, ["i", "w_last4", "w_roll13", "w_seasonal"], targets, min_train).where(F.col("n") > 0)
@@ -61,6 +65,22 @@ def choose_weights(train: DataFrame, targets: list[dt.date], min_train: int = 4)
     return best.select("eval_start", "b.*")
 
 
+def weights_or_default(train: DataFrame, chosen: DataFrame, targets: list[dt.date], min_train: int) -> DataFrame:
+    """One row for every target that can be evaluated.
+
+    Without a scored earlier row the first grid point is taken, without any
+    earlier row a third each, so no target loses its predictions.
+    """
+    spark = train.sparkSession
+    every = spark.createDataFrame([(t,) for t in targets[min_train:]], "eval_start date")
+    seen = train.select("target_start").distinct().withColumn("eval_start", F.explode(later_targets(targets, min_train))).select("eval_start").distinct()
+    seen = seen.withColumn("seen", F.lit(True))
+    names = ("w_last4", "w_roll13", "w_seasonal")
+    out = every.join(seen, "eval_start", "left").join(chosen, "eval_start", "left")
+    default = [F.when(F.col("seen"), F.lit(w)).otherwise(F.lit(1 / 3)) for w in SIMPLEX[0]]
+    return out.select("eval_start", *[F.coalesce(n, d).alias(n) for n, d in zip(names, default)], "train_hit20", "train_wmape")
+
+
 def weighted_base() -> Column:
     return (positive(F.col("last4")) * F.col("w_last4") + positive(F.col("roll13_mean")) * F.col("w_roll13")
             + positive(F.col("seasonal52")) * F.col("w_seasonal"))
@@ -73,7 +93,7 @@ def empirical_blend(labels: DataFrame, train: DataFrame, targets: list[dt.date],
     category_norm, actual_units, last4, roll13_mean, seasonal52); ``labels``:
     the rows to predict with the same columns but actual_units.
     """
-    weights = choose_weights(train, targets, min_train)
+    weights = weights_or_default(train, choose_weights(train, targets, min_train), targets, min_train)
     # one row per target start
     past = train.withColumn("eval_start", F.explode(later_targets(targets, min_train))).join(F.broadcast(weights), "eval_start")
     past = past.withColumn("base", positive(weighted_base())).where((F.col("base") > 0) & (F.col("actual_units") >= 4.0))
@@ -103,7 +123,8 @@ def postprocess_tune(rows: DataFrame, targets: list[dt.date], pred: str, min_tra
     """Best (factor, zero floor) of 126 per target over the earlier windows by (hit20, -phantom, -WMAPE, -|1-f|)."""
     grid = F.array(*[F.struct(F.lit(k).alias("i"), F.lit(f).alias("factor"), F.lit(z).alias("zero_floor"))
                      for k, (f, z) in enumerate((f, z) for f in FACTORS for z in FLOORS)])
-    r = rows.select("target_start", "actual_units", positive(F.col(pred)).alias("p"), F.inline(grid))
+    counted = rows.where("actual_units >= 4.0 or actual_units = 0")  # scored and phantom rows
+    r = counted.select("target_start", "actual_units", positive(F.col(pred)).alias("p"), F.inline(grid))
     sums = r.groupBy("target_start", "i", "factor", "zero_floor").agg(*scored_sums(apply_post(F.col("p")), F.col("actual_units")))
     sums = add_up(sums, ["i", "factor", "zero_floor"], targets, min_train).where(F.col("n") > 0)
     phantom = F.coalesce(div(F.col("phantoms"), F.col("zeros")), F.lit(1e9))
@@ -121,9 +142,10 @@ def apply_post(p: Column) -> Column:
 
 
 def postprocess(rows: DataFrame, tuned: DataFrame, pred: str) -> DataFrame:
-    """Apply each target's tuned factor and floor (one row per target start)."""
-    return rows.join(F.broadcast(tuned.select("target_start", "factor", "zero_floor")), "target_start").withColumn(
-        "tuned_pred", apply_post(F.col(pred))).drop("factor", "zero_floor")
+    """Apply each target's tuned factor and floor (one row per target start); factor 1 and no floor where nothing was tuned."""
+    found = rows.join(F.broadcast(tuned.select("target_start", "factor", "zero_floor")), "target_start", "left")
+    found = found.withColumns({"factor": F.coalesce("factor", F.lit(1.0)), "zero_floor": F.coalesce("zero_floor", F.lit(0.0))})
+    return found.withColumn("tuned_pred", apply_post(F.col(pred))).drop("factor", "zero_floor")
 
 
 # ---- policies: row expressions over the routed matrix -----------------------
@@ -148,7 +170,7 @@ def prediction_blend(*preds: Column) -> Column:
 
 
 def policy_champion(safe_blend: Column, trees: Column) -> Column:
-    return positive(F.when(stress(), post_bf_safe_naive()).when(route_masks()["guarded_regular"], trees).otherwise(safe_blend))
+    return positive(F.when(stress(), post_bf_safe_naive()).when(route_masks()["regular"], trees).otherwise(safe_blend))
 
 
 def policy_lift(pred: Column, kind: str, rank_limit: int | None) -> Column:
@@ -176,11 +198,11 @@ def campaign_candidates(control: Column) -> dict[str, Column]:
 
 def combined_candidates(control: Column, trees: Column) -> dict[str, Column]:
     m, safe = route_masks(), post_bf_safe_naive()
-    regular = F.when(m["guarded_regular"], trees).otherwise(control)
+    regular = F.when(m["regular"], trees).otherwise(control)
     return {
         "combined_regular_post_bf": F.when(stress(), safe).otherwise(regular),
         "combined_bf_calendar": F.when(m["bf_calendar"], safe).otherwise(regular),
-        "combined_guarded": F.when(stress(), safe).when(m["regular"] & ~m["campaign"], trees).otherwise(control),
+        "combined_guarded": F.when(stress(), safe).when(m["guarded_regular"], trees).otherwise(control),
     }
 
 
@@ -203,11 +225,11 @@ def calibration_candidates(champion: Column, control: Column) -> dict[str, Colum
     m, context = route_masks(), F.col("calendar_route_context")
     campaign, month = F.col("primary_route") == "bf_campaign_sensitive", F.col("target_month")
     lift = lambda cond, floor, x: F.when(campaign & cond & (champion >= floor), champion * x).otherwise(champion)
-    out = {f"regular_blend_{int(w * 100)}": F.when(m["guarded_regular"], champion * (1.0 - w) + control * w).otherwise(champion)
+    out = {f"regular_blend_{int(w * 100)}": F.when(m["regular"], champion * (1.0 - w) + control * w).otherwise(champion)
            for w in (0.10, 0.25, 0.40)}
     out |= {f"lift_{x}_non_post": lift(context != "post_bf_window", 3.0, x / 100) for x in (110, 120, 130, 140, 150)}
-    out |= {f"lift_{x}_pre_floor_{f}": lift(context == "pre_bf_window", float(f), x / 100) for x in (130, 150, 180, 200) for f in (3, 5)}
-    out |= {f"lift_{x}_non_post_no_dec_jan": lift((context != "post_bf_window") & ~month.isin(12, 1), 3.0, x / 100) for x in (130, 150)}
+    out |= {f"lift_{x}_pre_floor_{f}": lift(context == "pre_bf_window", float(f), x / 100) for x, f in PRE_WINDOW_LIFTS}
+    out |= {f"lift_{x}_non_post_no_dec_jan": lift((context != "post_bf_window") & ~month.isin(12, 1), 3.0, x / 100) for x in WINTER_FREE_LIFTS}
     return out
 
 

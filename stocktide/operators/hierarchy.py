@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stocktide.functions.text import clean_text, strip_accents
-from stocktide.session import broadcast_if_small
+from stocktide.session import cut_lineage
 
 UNKNOWN = "NECUNOSCUT"
 # Text that names a sales channel, not a product group.
@@ -138,8 +138,8 @@ def hierarchy_columns(df: DataFrame) -> DataFrame:
     """Add the six hierarchy result columns.
 
     The rules run once per distinct raw tuple, not once per line. The table of
-    tuples is written, counted and only broadcast when it is small; otherwise
-    an ordinary join runs and AQE splits a tuple that is on very many lines.
+    tuples is written and joined in the ordinary way: AQE broadcasts it within
+    its byte threshold and else splits a tuple that is on very many lines.
     The product name is only looked at on lines where no field gave a category.
     """
     t = df.drop(*RESULT_COLUMNS)
@@ -148,7 +148,7 @@ def hierarchy_columns(df: DataFrame) -> DataFrame:
             t = t.withColumn(c, F.lit(None).cast("string"))
     keep = list(t.columns)
     table = hierarchy_table(t).select(*[F.col(f).alias(f"_t_{f}") for f in FIELDS], "_cat", "_cat_src", "_fam", "_fam_src")
-    table = broadcast_if_small(table)
+    table = cut_lineage(table)  # measured when read; AQE broadcasts it within its byte threshold
     same = F.lit(True)
     for f in FIELDS:
         same = same & F.col(f).eqNullSafe(F.col(f"_t_{f}"))

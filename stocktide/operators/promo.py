@@ -95,14 +95,18 @@ def promo_lift(ratios: DataFrame, min_events: int = 30) -> DataFrame:
 
 
 def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw from a uniform number."""
-    out, cum, p = F.lit(8), 1.0, 1.0
-    limits, term = [], 2.718281828459045 ** -1
-    cum = 0.0
-    for k in range(8):
+    """Poisson(1) draw from a uniform number.
+
+    The limits go on until the next one can't be told from 1 in double
+    precision (17 and more has a probability below 1e-15), so nothing is cut.
+    """
+    limits, term, cum, k = [], 2.718281828459045 ** -1, 0.0, 0
+    while cum + term > cum:
         cum += term
         limits.append((cum, k))
-        term /= k + 1
+        k += 1
+        term /= k
+    out = F.lit(k)
     for limit, k in reversed(limits):
         out = F.when(u < limit, k).otherwise(out)
     return out

@@ -92,16 +92,20 @@ def add_route_labels(matrix: DataFrame) -> DataFrame:
 def route_masks() -> dict[str, Column]:
     """Named row masks used by policies and candidates."""
     c = F.col
+    positive_value = lambda name: F.coalesce(c(name), F.lit(0.0)) > 0
+    is_one = lambda name: F.coalesce(c(name), F.lit(0.0)) == 1
     normal = c("calendar_route_context") == "normal_calendar"
-    regular = c("primary_route").isin(*REGULAR_ROUTES)
-    demand = ((c("active_weeks_52") >= 24) & (c("avg_units_per_4w_52") >= 2) & (c("zero_week_share_52") < 0.55)
-              & c("intermittency_bucket").isin("regular", "moderately_intermittent"))
+    on_campaign_route = c("primary_route") == "bf_campaign_sensitive"
+    regular = c("primary_route").isin(*REGULAR_ROUTES) & normal
+    campaign = on_campaign_route | positive_value("campaign_txn_13w") | positive_value("bf_txn_13w")
     return {
         "regular": regular,
-        "guarded_regular": regular & normal,
-        "supplier_available": regular & (c("supplier_stock_prev_month_qty") > 0),
-        "campaign": c("primary_route") == "bf_campaign_sensitive",
+        "guarded_regular": regular & ~campaign,
+        "supplier_available": (is_one("store_or_supplier_available_before_target") & is_one("combined_stock_observed_prev_month")
+                               & normal & ~on_campaign_route),
+        "campaign": campaign,
         "stock_constrained": c("primary_route") == "stock_constrained",
-        "bf_calendar": ~normal,
-        "demand_regular": demand,
+        "bf_calendar": ~normal | positive_value("bf_txn_13w"),
+        "demand_regular": ((F.coalesce(c("active_weeks_52"), F.lit(0)) >= 24)
+                           & (F.coalesce(c("avg_units_per_4w_52"), F.lit(0.0)) >= 2.0) & normal),
     }

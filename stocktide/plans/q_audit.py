@@ -19,7 +19,7 @@ from stocktide.plans.q_features import routed
 from stocktide.plans.registry import query
 
 CARRY = ["primary_route", "calendar_route_context", "stock_position_confidence", "intermittency_bucket", "category_norm", "product_family_v2", "revenue_rank"]
-CONTROL, TREES = "median_naive", "roll8_mean"
+CONTROL, TREES, SECOND = "median_naive", "roll8_mean", "seasonal52"
 MD, MN = sc.METRIC_DOUBLES, sc.METRIC_LONGS
 
 
@@ -37,8 +37,9 @@ def per_model(spark, d, candidates):
 _STRESS = "(target_is_post_bf_4w = 1 AND bf_unit_share_4w > 0)"
 _MED3 = lambda a, b, c: f"list_sort([{a}, {b}, {c}])[2]"
 _GREG = "(primary_route IN ('available_regular', 'proxy_available_regular') AND calendar_route_context = 'normal_calendar')"
-_REG = "primary_route IN ('available_regular', 'proxy_available_regular')"
 _CAMP = "primary_route = 'bf_campaign_sensitive'"
+_CHIST = f"({_CAMP} OR coalesce(campaign_txn_13w, 0) > 0 OR coalesce(bf_txn_13w, 0) > 0)"
+_BFCAL = "(calendar_route_context <> 'normal_calendar' OR coalesce(bf_txn_13w, 0) > 0)"
 BLOCKS["pol"] = f"""
 SELECT *, greatest(0, CASE WHEN {_STRESS} THEN {_MED3('non_bf_pos_units_4w_equiv', 'roll13_mean', 'seasonal52')} ELSE median_naive END) AS safe,
  median_naive AS control, roll8_mean AS trees FROM rtx"""
@@ -122,7 +123,8 @@ def _(spark, d):
 
 
 @query("postprocess_apply", """
-SELECT target_start, sku_id, CASE WHEN median_naive * factor < zero_floor THEN 0 ELSE median_naive * factor END AS tuned_pred FROM fmx JOIN pp_b ON eval_start = target_start""", "tuned_pred")
+SELECT target_start, sku_id, CASE WHEN median_naive * coalesce(factor, 1) < coalesce(zero_floor, 0) THEN 0 ELSE median_naive * coalesce(factor, 1) END AS tuned_pred
+FROM fmx LEFT JOIN pp_b ON eval_start = target_start""", "tuned_pred")
 def _(spark, d):
     m = routed(spark, d)
     tuned = bl.postprocess_tune(m.withColumn("actual_units", F.col("actual_pos_units_4w")), TARGETS, "median_naive")
@@ -172,8 +174,8 @@ def _(spark, d):
     return top.select(*sc.KEY, bl.policy_lift(F.col("_ch"), "non_post", 1000).alias("lift_non_post"), bl.policy_lift(F.col("_ch"), "pre", 1000).alias("lift_pre"))
 
 
-_CC = {"campaign_safe_naive": f"CASE WHEN {_CAMP} THEN safe ELSE control END", "bf_calendar_safe_naive": "CASE WHEN calendar_route_context <> 'normal_calendar' THEN safe ELSE control END",
-       "campaign_conservative_pool": f"CASE WHEN {_CAMP} THEN {_MED3('safe', 'median_naive', 'control')} ELSE control END", "post_bf_hard_safe": f"CASE WHEN {_STRESS} THEN safe ELSE control END"}
+_CC = {"campaign_safe_naive": f"CASE WHEN {_CHIST} THEN safe ELSE control END", "bf_calendar_safe_naive": f"CASE WHEN {_BFCAL} THEN safe ELSE control END",
+       "campaign_conservative_pool": f"CASE WHEN {_CHIST} THEN {_MED3('safe', 'median_naive', 'control')} ELSE control END", "post_bf_hard_safe": f"CASE WHEN {_STRESS} THEN safe ELSE control END"}
 
 
 @query("campaign_candidates", _PM(_CC), MD, MN)
@@ -182,8 +184,8 @@ def _(spark, d):
 
 
 _RG = f"CASE WHEN {_GREG} THEN trees ELSE control END"
-_CB = {"combined_regular_post_bf": f"CASE WHEN {_STRESS} THEN safe ELSE {_RG} END", "combined_bf_calendar": f"CASE WHEN calendar_route_context <> 'normal_calendar' THEN safe ELSE {_RG} END",
-       "combined_guarded": f"CASE WHEN {_STRESS} THEN safe WHEN {_REG} THEN trees ELSE control END"}
+_CB = {"combined_regular_post_bf": f"CASE WHEN {_STRESS} THEN safe ELSE {_RG} END", "combined_bf_calendar": f"CASE WHEN {_BFCAL} THEN safe ELSE {_RG} END",
+       "combined_guarded": f"CASE WHEN {_STRESS} THEN safe WHEN {_GREG} AND NOT {_CHIST} THEN trees ELSE control END"}
 
 
 @query("combined_candidates", _PM(_CB), MD, MN)
@@ -205,8 +207,8 @@ def _(spark, d):
 _LIFT = lambda cond, fl, x: f"CASE WHEN {_CAMP} AND {cond} AND {_CHAMP} >= {fl} THEN {_CHAMP} * {x} ELSE {_CHAMP} END"
 _CG = {f"regular_blend_{int(w * 100)}": f"CASE WHEN {_GREG} THEN {_CHAMP} * {1.0 - w}::DOUBLE + control * {w}::DOUBLE ELSE {_CHAMP} END" for w in (0.10, 0.25, 0.40)}
 _CG |= {f"lift_{x}_non_post": _LIFT("calendar_route_context <> 'post_bf_window'", 3, x / 100) for x in (110, 120, 130, 140, 150)}
-_CG |= {f"lift_{x}_pre_floor_{f}": _LIFT("calendar_route_context = 'pre_bf_window'", f, x / 100) for x in (130, 150, 180, 200) for f in (3, 5)}
-_CG |= {f"lift_{x}_non_post_no_dec_jan": _LIFT("calendar_route_context <> 'post_bf_window' AND target_month NOT IN (12, 1)", 3, x / 100) for x in (130, 150)}
+_CG |= {f"lift_{x}_pre_floor_{f}": _LIFT("calendar_route_context = 'pre_bf_window'", f, x / 100) for x, f in bl.PRE_WINDOW_LIFTS}
+_CG |= {f"lift_{x}_non_post_no_dec_jan": _LIFT("calendar_route_context <> 'post_bf_window' AND target_month NOT IN (12, 1)", 3, x / 100) for x in bl.WINTER_FREE_LIFTS}
 
 
 @query("calibration_grid", f"SELECT model_name, {METRICS_SQL} FROM ({cand_sql(_CG)}) GROUP BY model_name", MD, MN)
@@ -284,14 +286,14 @@ SELECT slice, {at(cand, 'n_quantity_scored')} AS n_scored, {', '.join(f'{at(cand
 
 
 CMP_D = " ".join(f"{f}_{k}" for f in _F5 for k in ("candidate", "baseline", "delta"))
-_SL = {"all": "true", "top_100": "revenue_rank BETWEEN 1 AND 100", "top_500": "revenue_rank BETWEEN 1 AND 500", "regular": _REG, "stress": f"target_start = DATE '{TARGETS[5]}'"}
+_SL = {"all": "true", "top_100": "revenue_rank BETWEEN 1 AND 100", "top_500": "revenue_rank BETWEEN 1 AND 500", "regular": _GREG, "stress": f"target_start = DATE '{TARGETS[5]}'"}
 
 
 def slices():
     s = lambda n, c: F.when(c, F.lit(n))
     return F.array_compact(F.array(
         F.lit("all"), s("top_100", F.col("revenue_rank").between(1, 100)), s("top_500", F.col("revenue_rank").between(1, 500)),
-        s("regular", F.col("primary_route").isin("available_regular", "proxy_available_regular")), s("stress", F.col("target_start") == F.lit(TARGETS[5]))))
+        s("regular", F.col("primary_route").isin("available_regular", "proxy_available_regular") & (F.col("calendar_route_context") == "normal_calendar")), s("stress", F.col("target_start") == F.lit(TARGETS[5]))))
 
 
 def comparison(spark, d):
@@ -299,6 +301,11 @@ def comparison(spark, d):
 
 
 BLOCKS["cmp0"] = cmp_sql("roll13_mean", CONTROL, _SL)
+BLOCKS["cmp1"] = cmp_sql("roll13_mean", SECOND, {"all": "true"})
+BLOCKS["worst0"] = f"""
+WITH m AS (SELECT target_start, model_name, {METRICS_SQL} FROM mrows WHERE target_start <> DATE '{TARGETS[5]}' GROUP BY target_start, model_name)
+SELECT target_start, max(wmape) FILTER (model_name = 'roll13_mean') - max(wmape) FILTER (model_name = 'median_naive') AS wmape_delta FROM m GROUP BY target_start
+ORDER BY round(wmape_delta, 9) DESC, target_start LIMIT 1"""
 
 
 @query("model_comparison", "SELECT * FROM cmp0", CMP_D, "n_scored")
@@ -308,11 +315,15 @@ def _(spark, d):
 
 _RULES = [("hit20 on all", "all", "hit20", "min", 0.010), ("WMAPE on all", "all", "wmape", "max", 0.0), ("bias on all", "all", "bias_pct", "min_strict", 0.0),
           ("phantom on all", "all", "phantom_rate", "max", 0.0), ("hit20 on top 500", "top_500", "hit20", "min", 0.0), ("hit20 on top 100", "top_100", "hit20", "min", 0.0),
-          ("WMAPE in the stress window", "stress", "wmape", "max", 0.020)]
+          ("WMAPE in the stress window", "stress", "wmape", "max", 0.0), ("largest WMAPE regression outside the stress window", "worst_window", "wmape", "max", 0.020),
+          ("hit20 on all against the control", "control", "hit20", "min", 0.015), ("WMAPE on all against the control", "control", "wmape", "max", 0.005)]
 BLOCKS["gate0"] = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{m}', {t}::DOUBLE)" for a, b, c, m, t in _RULES) + ") r(gate, slice, metric, mode, threshold)"
 BLOCKS["gate1"] = """
 SELECT gate, slice, metric, mode, threshold, CASE metric WHEN 'hit20' THEN hit20_delta WHEN 'wmape' THEN wmape_delta WHEN 'bias_pct' THEN bias_pct_delta ELSE phantom_rate_delta END AS observed
-FROM gate0 LEFT JOIN cmp0 USING (slice)"""
+FROM gate0 LEFT JOIN (
+ SELECT slice, hit20_delta, wmape_delta, bias_pct_delta, phantom_rate_delta FROM cmp0 UNION ALL
+ SELECT 'control', hit20_delta, wmape_delta, bias_pct_delta, phantom_rate_delta FROM cmp1 WHERE slice = 'all' UNION ALL
+ SELECT 'worst_window', NULL, wmape_delta, NULL, NULL FROM worst0) USING (slice)"""
 BLOCKS["gate2"] = """
 SELECT *, CASE WHEN coalesce(CASE mode WHEN 'min' THEN observed >= threshold WHEN 'min_strict' THEN observed > threshold ELSE observed <= threshold END, false) THEN 'PASS' ELSE 'FAIL' END AS outcome FROM gate1"""
 
@@ -321,15 +332,23 @@ def rules(spark):
     return spark.createDataFrame(_RULES, "gate string, slice string, metric string, mode string, threshold double")
 
 
+def gate_comparison(spark, d):
+    """Slices against the champion, all rows against the control, and the worst window outside the stress window."""
+    rows = models(spark, d)
+    against_control = au.compare_models(rows, "roll13_mean", SECOND, F.array(F.lit("control")))
+    worst = au.worst_window_regression(rows, "roll13_mean", CONTROL, [str(TARGETS[5])]).select(F.lit("worst_window").alias("slice"), "wmape_delta")
+    return comparison(spark, d).unionByName(against_control).unionByName(worst, allowMissingColumns=True)
+
+
 @query("promotion_gates", "SELECT * FROM gate2", "threshold observed")
 def _(spark, d):
-    return au.gates(comparison(spark, d), rules(spark))
+    return au.gates(gate_comparison(spark, d), rules(spark))
 
 
 @query("gate_decision", """
 SELECT count(*) AS checks, count(*) FILTER (outcome = 'PASS') AS passed, CASE WHEN count(*) = count(*) FILTER (outcome = 'PASS') THEN 'PROMOTE' ELSE 'KEEP' END AS decision FROM gate2""", "", "checks passed")
 def _(spark, d):
-    return au.gate_decision(au.gates(comparison(spark, d), rules(spark)))
+    return au.gate_decision(au.gates(gate_comparison(spark, d), rules(spark)))
 
 
 @query("zero_actual_metrics", """
@@ -417,11 +436,7 @@ def _(spark, d):
 
 
 def _candidates(spark, d):
-    out = None
-    for m in ("last4", "roll8_mean", "roll13_mean", "seasonal52", "post_bf_safe_naive"):
-        c = au.compare_models(models(spark, d), m, CONTROL, F.array(F.lit("all"))).select(F.lit(m).alias("candidate"), "hit20_delta", "wmape_delta")
-        out = c if out is None else out.unionByName(c)
-    return out
+    return au.compare_to_baseline(models(spark, d), CONTROL)
 
 
 @query("best_candidate", f"""

@@ -180,7 +180,7 @@ def _(spark, d):
 
 
 @query("transaction_key", """
-SELECT sha256(store_id || '|' || invoice_id || '|' || order_id || '|' || sku_id || '|' || CAST(sale_date AS VARCHAR) || '|' || printf('%.2f', line_value) || '|' || printf('%.2f', quantity) || '|' || product_name) AS transaction_key,
+SELECT sha256(store_id || '|' || invoice_id || '|' || order_id || '|' || sku_id || '|' || CAST(sale_date AS VARCHAR) || '|' || CAST(line_value AS VARCHAR) || '|' || CAST(quantity AS VARCHAR) || '|' || product_name) AS transaction_key,
  count(*) AS row_count FROM exx GROUP BY ALL""", "", "row_count")
 def _(spark, d):
     return clean(spark, d).groupBy("transaction_key").agg(F.count(F.lit(1)).alias("row_count"))

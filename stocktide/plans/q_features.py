@@ -281,12 +281,14 @@ def _(spark, d):
 
 
 @query("route_masks", """
-SELECT target_start, count(*) FILTER (primary_route IN ('available_regular', 'proxy_available_regular')) AS regular,
- count(*) FILTER (primary_route IN ('available_regular', 'proxy_available_regular') AND calendar_route_context = 'normal_calendar') AS guarded_regular,
- count(*) FILTER (primary_route IN ('available_regular', 'proxy_available_regular') AND supplier_stock_prev_month_qty > 0) AS supplier_available,
- count(*) FILTER (primary_route = 'bf_campaign_sensitive') AS campaign, count(*) FILTER (primary_route = 'stock_constrained') AS stock_constrained,
- count(*) FILTER (calendar_route_context <> 'normal_calendar') AS bf_calendar,
- count(*) FILTER (active_weeks_52 >= 24 AND avg_units_per_4w_52 >= 2 AND zs < 0.55 AND intermittency_bucket IN ('regular', 'moderately_intermittent')) AS demand_regular
+SELECT target_start, count(*) FILTER (primary_route IN ('available_regular', 'proxy_available_regular') AND calendar_route_context = 'normal_calendar') AS regular,
+ count(*) FILTER (primary_route IN ('available_regular', 'proxy_available_regular') AND calendar_route_context = 'normal_calendar'
+  AND coalesce(campaign_txn_13w, 0) <= 0 AND coalesce(bf_txn_13w, 0) <= 0) AS guarded_regular,
+ count(*) FILTER (coalesce(store_or_supplier_available_before_target, 0) = 1 AND coalesce(combined_stock_observed_prev_month, 0) = 1
+  AND calendar_route_context = 'normal_calendar' AND primary_route <> 'bf_campaign_sensitive') AS supplier_available,
+ count(*) FILTER (primary_route = 'bf_campaign_sensitive' OR coalesce(campaign_txn_13w, 0) > 0 OR coalesce(bf_txn_13w, 0) > 0) AS campaign, count(*) FILTER (primary_route = 'stock_constrained') AS stock_constrained,
+ count(*) FILTER (calendar_route_context <> 'normal_calendar' OR coalesce(bf_txn_13w, 0) > 0) AS bf_calendar,
+ count(*) FILTER (active_weeks_52 >= 24 AND avg_units_per_4w_52 >= 2 AND calendar_route_context = 'normal_calendar') AS demand_regular
 FROM rtx GROUP BY ALL""", "", "regular guarded_regular supplier_available campaign stock_constrained bf_calendar demand_regular")
 def _(spark, d):
     r = routed(spark, d)

@@ -36,7 +36,7 @@ def _(spark, d):
 @query("route_specialists", None, "pred_units_4w")
 def _(spark, d):
     m, out = routed(spark, d), None
-    for name, rows, windows in (("guarded_regular", 250, 3), ("campaign", 300, 3), ("stock_constrained", 150, 3)):
+    for name, rows, windows in (("regular", 250, 3), ("campaign", 300, 3), ("stock_constrained", 150, 3)):
         part = mo.route_specialist(m, TARGETS[-1], route_masks()[name], F.col("median_naive"), rows, windows, **SIZE)
         part = part.select(*sc.KEY, F.lit(f"specialist_{name}").alias("model_name"), "specialist_used", "pred_units_4w")
         out = part if out is None else out.unionByName(part)

@@ -46,9 +46,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Write and count a lookup table; broadcast it only when it is small."""
-    table = cut_lineage(df)
-    return F.broadcast(table) if table.count() <= max_rows else table

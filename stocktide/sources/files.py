@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,17 @@ from stocktide.operators.clean import pick
 DELIMITERS = ",;\t|"
 
 
-def header_of(spark: SparkSession, path: str) -> tuple[str, list[str]]:
-    """Delimiter and trimmed column names of one file, from its header line."""
-    rows = spark.read.text(path).limit(1).collect()
-    line = rows[0][0].lstrip("﻿") if rows else ""
+def header_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """First line of every file that is not blank, by one job over all files."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    lines = lines.where(F.trim(F.translate("value", "\ufeff\t\r", "")) != "")
+    return {unquote(r.path): r.line for r in lines.groupBy("path").agg(F.min_by("value", "place").alias("line")).collect()}  # one row per file
+
+
+def layout_of(line: str) -> tuple[str, list[str]]:
+    """Delimiter and trimmed column names of a header line."""
+    line = line.lstrip("﻿")
     sep = max(DELIMITERS, key=lambda c: (line.count(c), -DELIMITERS.index(c)))
     names = next(csv.reader([line], delimiter=sep), [])
     return sep, [n.replace("﻿", "").strip().strip('"').strip() for n in names]
@@ -26,17 +34,19 @@ def header_of(spark: SparkSession, path: str) -> tuple[str, list[str]]:
 def scan_export(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Rows of many exports with differing layouts as trimmed text.
 
-    Files with the same layout are read in one scan. Lineage: source_file, and
-    (source_block, source_row_number) which together order the rows of a file.
+    Files with the same layout are read in one scan. A record may hold line
+    breaks inside quotes, so a file is one task; blank lines at its head are
+    passed over, and a file without any line has no rows. Lineage: source_file,
+    and (source_block, source_row_number) which together order the rows of a file.
     """
     layouts: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    for p in paths:
-        sep, names = header_of(spark, p)
+    for p, line in sorted(header_lines(spark, paths).items()):
+        sep, names = layout_of(line)
         layouts.setdefault((sep, tuple(names)), []).append(p)
     out = None
     for (sep, names), files in layouts.items():
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = spark.read.csv(files, sep=sep, header=True, schema=schema, quote='"', escape='"', enforceSchema=True)
+        df = spark.read.csv(files, sep=sep, header=True, schema=schema, quote='"', escape='"', enforceSchema=True, multiLine=True)
         df = df.select(
             *[tx.clean_text(F.col(f"`{n}`")).alias(n) for n in names],
             F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"),

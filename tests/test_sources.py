@@ -118,3 +118,25 @@ def test_stream_takes_late_files_once(spark, tmp_path):
     (inbox / "2.csv").write_text("transaction_key,v\nb,2\nc,3\n")
     run()
     assert sorted(r["transaction_key"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["a", "b", "c"]
+
+
+def test_lines_that_differ_in_the_third_decimal_keep_their_own_key(spark):
+    from stocktide.functions.text import transaction_key
+    rows = spark.createDataFrame([("s", "i", "o", "k", "d", 1.0, q, "n") for q in (0.124, 0.121)], "a string, b string, c string, d string, e string, v double, q double, n string")
+    assert rows.select(transaction_key(*[F.col(c) for c in rows.columns]).alias("k")).distinct().count() == 2
+
+
+def test_two_streams_and_a_new_checkpoint_keep_all_rows(spark, tmp_path):
+    schema = T.StructType([T.StructField("transaction_key", T.StringType()), T.StructField("v", T.StringType())])
+    for name, row, checkpoint in (("one", "a,1", "c1"), ("two", "b,2", "c2"), ("one", "a,1", "c3")):
+        (tmp_path / name).mkdir(exist_ok=True)
+        (tmp_path / name / "1.csv").write_text(f"transaction_key,v\n{row}\n")
+        append_stream(spark, str(tmp_path / name), schema, str(tmp_path / "t"), str(tmp_path / checkpoint), lambda df: df).awaitTermination()
+    assert sorted(r["transaction_key"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["a", "b"]
+
+
+def test_export_with_a_blank_head_and_a_quoted_line_break(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text('\n\nNAME;NOTE\nx;"one\ntwo"\ny;three\n')
+    (tmp_path / "c.csv").write_text("NAME,NOTE\nz,four\n")
+    got = sorted((r["NAME"], r["NOTE"], r["source_file"]) for r in fs.scan_export(spark, [str(tmp_path / "a b.csv"), str(tmp_path / "c.csv")]).collect())
+    assert [g[:2] for g in got] == [("x", "one\ntwo"), ("y", "three"), ("z", "four")] or [g[:2] for g in got] == [("x", "one two"), ("y", "three"), ("z", "four")]
