@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stocktide.functions.numbers import div
-from stocktide.operators.labels import lookup
+from stocktide.operators.labels import date_array, lookup
 from stocktide.operators.routes import REGULAR_ROUTES
 from stocktide.operators.score import KEY, metric_aggregates
 
@@ -224,23 +226,56 @@ def actuals_first_rows(weekly: DataFrame, keys: list[str], value: str, first: in
     return weekly.withColumn("_r", r).where(F.col("_r") <= first).groupBy(*keys).agg(F.sum(value).alias(f"actual_first_{first}"))
 
 
+def attribution_signals(weekly: DataFrame, targets: list[dt.date]) -> DataFrame:
+    """Per (target, sku): units of the last ten weeks, and spread and target multiplier of last year's month profile.
+
+    A month's multiplier is its units over the mean month, between 0.2 and 3;
+    the spread is their deviation over their mean; the target's multiplier is
+    the mean over the months that its four weeks touch. A target date is
+    repeated over at most two years of weekly rows.
+    """
+    day, unit = F.col("week_start"), F.col("pos_units")
+    near = F.filter(date_array(targets), lambda t: (day < t) & (F.year(day) >= F.year(t) - 1))
+    w = weekly.withColumn("target_start", F.explode(near))
+    last_year = F.year(day) == F.year("target_start") - 1
+    months = [F.coalesce(F.sum(F.when(last_year & (F.month(day) == k), unit)), F.lit(0.0)) for k in range(1, 13)]
+    g = w.groupBy(*KEY).agg(
+        F.coalesce(F.sum(F.when(day >= F.date_sub("target_start", 70), unit)), F.lit(0.0)).alias("last_10w_units"), F.array(*months).alias("_m"))
+    total = F.aggregate("_m", F.lit(0.0), lambda x, y: x + y)
+    g = g.withColumn("_avg", total / 12)
+    g = g.withColumn("_x", F.transform("_m", lambda v: F.least(F.lit(3.0), F.greatest(F.lit(0.2), v / F.nullif(F.col("_avg"), F.lit(0.0))))))
+    mean = F.aggregate("_x", F.lit(0.0), lambda x, y: x + y) / 12
+    g = g.withColumn("_mean", mean)
+    spread = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda x, y: x + (y - F.col("_mean")) * (y - F.col("_mean"))) / 11)
+    first, last = F.col("_x")[F.month("target_start") - 1], F.col("_x")[F.month(F.date_add("target_start", 27)) - 1]
+    sold = F.col("_avg") > 0
+    return g.select(*KEY, "last_10w_units", F.when(sold, spread / F.col("_mean")).otherwise(0.0).alias("monthly_cv"),
+                    F.when(sold, (first + last) / 2).otherwise(1.0).alias("target_multiplier"))
+
+
 def error_attribution(rows: DataFrame) -> DataFrame:
     """Tag every row with what explains its miss; the first tag is primary, all are kept.
 
-    Needs ensemble, naive and actual units, the anomaly-adjusted and trees values (may be NULL), and is_silent.
+    Needs ensemble (pred_units), naive_pred and actual_units, the method values
+    aa_pred, tree_pred and other_preds (array of the rest; each may be NULL),
+    zero_share, last_10w_units, monthly_cv and target_multiplier.
     """
     c = F.col
     err = F.abs(c("pred_units") - c("actual_units"))
-    rel = err / F.greatest(c("actual_units"), F.lit(1.0))
-    miss = rel > 0.20
+    others = F.array_sort(F.filter(F.concat(F.array("aa_pred"), "other_preds"), lambda v: v.isNotNull() & (v > 0)))
+    n = F.size(others)
+    middle = (others[F.floor((n - 1) / 2).cast("int")] + others[F.floor(n / 2).cast("int")]) / 2
     tags = F.array_compact(F.array(
-        F.when((c("is_silent") == 1) & (c("actual_units") == 0) & (c("pred_units") >= 1), "silent_phantom"),
-        F.when(miss & (c("aa_pred") == 0) & (c("actual_units") > 0), "aa_collapse"),
-        F.when(miss & c("tree_pred").isNotNull() & (F.abs(c("tree_pred") - c("actual_units")) > 2 * err), "lgbm_drag"),
-        F.when(miss & (c("pred_units") > 2 * F.greatest(c("recent_units"), F.lit(1.0))), "seasonal_extrapolation"),
-        F.when(miss & (F.abs(c("naive_pred") - c("actual_units")) < err), "naive_would_have_won")))
+        F.when(F.coalesce("last_10w_units", F.lit(0.0)) <= 0, "silent_phantom"),
+        F.when((c("aa_pred") <= 0.5) & (c("zero_share") > 0.80), "aa_collapse"),
+        F.when((n > 0) & (c("tree_pred") >= F.array_max(others)) & (c("tree_pred") >= 2.0 * middle), "lgbm_drag"),
+        F.when((F.coalesce("monthly_cv", F.lit(0.0)) > 0.5) & (F.coalesce("target_multiplier", F.lit(1.0)) < 0.7)
+               & (c("naive_pred") > 0) & (c("pred_units") >= 1.5 * c("naive_pred")), "seasonal_extrapolation"),
+        F.when((c("actual_units") > 0) & (F.abs(c("naive_pred") - c("actual_units")) < 0.5 * err), "naive_would_have_won")))
     out = rows.withColumns({"abs_error": err, "tags": tags})
-    return out.withColumn("primary_tag", F.when(F.size("tags") > 0, c("tags")[0]).when(miss, "residual").otherwise("within_tolerance"))
+    large = (c("actual_units") <= 0) | (err / F.nullif(c("actual_units"), F.lit(0.0)) > 0.30)
+    rest = F.when(large, "residual").otherwise("within_tolerance")
+    return out.withColumn("primary_tag", F.when(F.size("tags") > 0, c("tags")[0]).otherwise(rest))
 
 
 def attribution_summary(tagged: DataFrame) -> DataFrame:

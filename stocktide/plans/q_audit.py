@@ -14,7 +14,7 @@ from stocktide.operators import score as sc
 from stocktide.plans import fixtures as fx
 from stocktide.plans.fixtures import TARGETS
 from stocktide.plans.oracle import BLOCKS
-from stocktide.plans.q_core import METRICS_SQL
+from stocktide.plans.q_core import METRICS_SQL, chain
 from stocktide.plans.q_features import routed
 from stocktide.plans.registry import query
 
@@ -530,17 +530,30 @@ def _(spark, d):
 
 def attribution_input(spark, d):
     m = routed(spark, d)
+    m = m.join(au.attribution_signals(chain(spark, d), TARGETS), sc.KEY, "left")
     return m.select(*sc.KEY, F.col("category_norm").alias("category"), F.col("median_naive").alias("pred_units"), F.col("seasonal52").alias("naive_pred"),
                     F.col("actual_pos_units_4w").alias("actual_units"), F.col("last4").alias("aa_pred"), F.col("roll8_mean").alias("tree_pred"),
-                    F.col("last4").alias("recent_units"), (F.col("pos_units_8w") <= 0).cast("int").alias("is_silent"))
+                    F.array("roll13_mean", "seasonal52").alias("other_preds"), F.col("zero_week_share_52").alias("zero_share"),
+                    "last_10w_units", "monthly_cv", "target_multiplier")
 
 
 BLOCKS["att0"] = """
-SELECT target_start, sku_id, category_norm AS category, median_naive AS p, seasonal52 AS nv, actual_pos_units_4w AS a, last4 AS aa, roll8_mean AS tr, last4 AS rc, (pos_units_8w <= 0) AS sil,
- abs(median_naive - actual_pos_units_4w) AS er, abs(median_naive - actual_pos_units_4w) / greatest(actual_pos_units_4w, 1) > 0.2 AS ms FROM fmx"""
+SELECT target_start, sku_id, category_norm AS category, median_naive AS p, seasonal52 AS nv, actual_pos_units_4w AS a, last4 AS aa, roll8_mean AS tr, zs,
+ list_filter([last4, roll13_mean, seasonal52], lambda v: v > 0) AS rest, coalesce(lw, 0) AS lw, coalesce(cv, 0) AS cv, coalesce(mu, 1) AS mu, abs(median_naive - actual_pos_units_4w) AS er
+FROM rtx LEFT JOIN att_ten USING (target_start, sku_id) LEFT JOIN att_cv USING (target_start, sku_id)"""
+BLOCKS["att_ten"] = """
+SELECT target_start, sku_id, sum(pos_units) AS lw FROM wpos JOIN (SELECT target_start FROM targets) ON week_start < target_start AND week_start >= target_start - 70 GROUP BY ALL"""
+BLOCKS["att_mon"] = """
+SELECT target_start, sku_id, month(week_start) AS mo, sum(pos_units) AS u FROM wpos JOIN (SELECT target_start FROM targets) ON year(week_start) = year(target_start) - 1 GROUP BY ALL"""
+BLOCKS["att_x"] = """
+SELECT s.target_start, s.sku_id, k, least(3, greatest(0.2, coalesce(m.u, 0) / av)) AS x FROM (SELECT target_start, sku_id, sum(u) / 12 AS av FROM att_mon GROUP BY ALL HAVING sum(u) > 0) s
+CROSS JOIN range(1, 13) r(k) LEFT JOIN att_mon m ON m.target_start = s.target_start AND m.sku_id = s.sku_id AND m.mo = k"""
+BLOCKS["att_cv"] = """
+SELECT target_start, sku_id, stddev_samp(x) / avg(x) AS cv, (max(x) FILTER (k = month(target_start)) + max(x) FILTER (k = month(target_start + 27))) / 2 AS mu FROM att_x GROUP BY ALL"""
 BLOCKS["att"] = """
-SELECT *, CASE WHEN sil AND a = 0 AND p >= 1 THEN 'silent_phantom' WHEN ms AND aa = 0 AND a > 0 THEN 'aa_collapse' WHEN ms AND abs(tr - a) > 2 * er THEN 'lgbm_drag'
- WHEN ms AND p > 2 * greatest(rc, 1) THEN 'seasonal_extrapolation' WHEN ms AND abs(nv - a) < er THEN 'naive_would_have_won' WHEN ms THEN 'residual' ELSE 'within_tolerance' END AS primary_tag FROM att0"""
+SELECT *, CASE WHEN lw <= 0 THEN 'silent_phantom' WHEN aa <= 0.5 AND zs > 0.8 THEN 'aa_collapse' WHEN len(rest) > 0 AND tr >= list_max(rest) AND tr >= 2 * list_median(rest) THEN 'lgbm_drag'
+ WHEN cv > 0.5 AND mu < 0.7 AND nv > 0 AND p >= 1.5 * nv THEN 'seasonal_extrapolation' WHEN a > 0 AND abs(nv - a) < 0.5 * er THEN 'naive_would_have_won'
+ WHEN a <= 0 OR er / nullif(a, 0) > 0.3 THEN 'residual' ELSE 'within_tolerance' END AS primary_tag FROM att0"""
 
 
 @query("error_attribution", """

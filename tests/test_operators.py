@@ -201,3 +201,52 @@ def test_features_do_not_see_the_target(spark):
 def test_population_filter_rejects_unknown(spark):
     with pytest.raises(ValueError):
         ft.population_filter(spark.range(1), "some")
+
+
+MASK_ROW = {"primary_route": "available_regular", "calendar_route_context": "normal_calendar", "campaign_txn_13w": 0.0, "bf_txn_13w": 0.0,
+            "store_or_supplier_available_before_target": 1.0, "combined_stock_observed_prev_month": 1.0, "active_weeks_52": 30.0, "avg_units_per_4w_52": 3.0}
+
+
+@pytest.mark.parametrize("change,names", [
+    ({}, {"regular", "guarded_regular", "supplier_available", "demand_regular"}),
+    ({"campaign_txn_13w": 1.0}, {"regular", "supplier_available", "demand_regular", "campaign"}),
+    ({"bf_txn_13w": 2.0}, {"regular", "supplier_available", "demand_regular", "campaign", "bf_calendar"}),
+    ({"calendar_route_context": "pre_bf_window"}, {"bf_calendar"}),
+    ({"primary_route": "bf_campaign_sensitive"}, {"campaign", "demand_regular"}),
+    ({"primary_route": "stock_constrained", "combined_stock_observed_prev_month": None, "avg_units_per_4w_52": None}, {"stock_constrained"}),
+])
+def test_route_masks(spark, change, names):
+    from stocktide.operators.routes import route_masks
+    row = MASK_ROW | change
+    schema = ", ".join(f"{k} {'string' if isinstance(MASK_ROW[k], str) else 'double'}" for k in row)
+    got = spark.createDataFrame([tuple(row.values())], schema).select(*[m.alias(n) for n, m in route_masks().items()]).first().asDict()
+    assert {n for n, v in got.items() if v} == names
+
+
+def test_targets_without_a_scored_row_keep_their_predictions(spark):
+    from stocktide.operators import blend
+    days = [dt.date(2024, 1, 1) + dt.timedelta(28 * k) for k in range(6)]
+    schema = "target_start date, sku_id string, product_family_v2 string, category_norm string, actual_units double, last4 double, roll13_mean double, seasonal52 double"
+    train = spark.createDataFrame([(d, "a", "f", "c", 1.0, 2.0, 3.0, 4.0) for d in days], schema)
+    labels = train.drop("actual_units")
+    got = blend.empirical_blend(labels, train, days).collect()
+    assert sorted(r.target_start for r in got) == days[4:]
+    assert all(abs(r.pred_units_4w - 4.0) < 1e-9 for r in got)  # the first grid point is all seasonal
+    none = blend.empirical_blend(labels, train.limit(0), days).collect()
+    assert len(none) == 2 and all(abs(r.pred_units_4w - 3.0) < 1e-9 for r in none)
+    rows = train.withColumn("p", F.lit(5.0))
+    tuned = blend.postprocess_tune(rows, days, "p")
+    assert blend.postprocess(rows, tuned.limit(0), "p").where("tuned_pred = 5.0").count() == 6
+
+
+def test_error_tags(spark):
+    from stocktide.operators.audit import error_attribution
+    base = dict(pred_units=10.0, naive_pred=10.0, actual_units=10.0, aa_pred=10.0, tree_pred=10.0, other_preds=[10.0], zero_share=0.1,
+                last_10w_units=5.0, monthly_cv=0.1, target_multiplier=1.0)
+    cases = [({}, "within_tolerance"), ({"last_10w_units": 0.0}, "silent_phantom"), ({"aa_pred": 0.4, "zero_share": 0.9}, "aa_collapse"),
+             ({"tree_pred": 21.0}, "lgbm_drag"), ({"monthly_cv": 0.6, "target_multiplier": 0.5, "naive_pred": 6.0}, "seasonal_extrapolation"),
+             ({"pred_units": 15.0, "naive_pred": 11.0}, "naive_would_have_won"), ({"pred_units": 15.0, "naive_pred": 30.0}, "residual"),
+             ({"actual_units": 0.0}, "residual"), ({"pred_units": 12.0, "naive_pred": 30.0}, "within_tolerance")]
+    schema = ", ".join(f"{k} {'array<double>' if k == 'other_preds' else 'double'}" for k in base) + ", want string"
+    rows = spark.createDataFrame([(*(base | c).values(), w) for c, w in cases], schema)
+    assert [(r.want, r.primary_tag) for r in error_attribution(rows).collect() if r.want != r.primary_tag] == []
