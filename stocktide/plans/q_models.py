@@ -6,48 +6,52 @@ from pyspark.sql import functions as F
 
 from stocktide.operators import models as mo
 from stocktide.operators import score as sc
-from stocktide.operators.routes import route_masks
 from stocktide.plans import fixtures as fx
 from stocktide.plans.fixtures import TARGETS
 from stocktide.plans.q_features import routed
 from stocktide.plans.q_series import K, folded
 from stocktide.plans.registry import query
 
-SIZE = {"depth": 4, "rounds": 8, "trees": 20}
-
 
 def tree_rows(spark, d):
-    return fx.shared(spark, d, "trees", lambda: mo.walk_forward_trees(routed(spark, d), TARGETS, TARGETS[-2:], **SIZE))
+    """All trees, the safe blend and the route variants on every target that has enough earlier ones."""
+    return fx.shared(spark, d, "trees", lambda: mo.walk_forward_trees(routed(spark, d), TARGETS, specialists=True))
 
 
 @query("fc_direct_trees", None, "pred_units_4w")
 def _(spark, d):
-    return sc.to_long(tree_rows(spark, d), ["sk_hgb_poisson", "sk_hgb_squared", "sk_extra_trees"])
+    return sc.to_long(tree_rows(spark, d), [*mo.MODELS, "safe_blend"])
 
 
 @query("walk_forward", None, sc.METRIC_DOUBLES, sc.METRIC_LONGS)
 def _(spark, d):
-    """Score of every tree on each target, trained on the targets before it."""
+    """Score of every model on each target, trained on the targets before it."""
     from stocktide.operators.blend import candidate_rows, model_table
-    cols = {m: F.col(m) for m in ("sk_hgb_poisson", "sk_hgb_squared", "sk_extra_trees", "median_naive")}
+    cols = {m: F.col(m) for m in (*mo.MODELS, "safe_blend", "post_bf_safe_naive", "median_naive")}
     return model_table(candidate_rows(tree_rows(spark, d), cols, []), ["target_start", "model_name"])
 
 
 @query("route_specialists", None, "pred_units_4w")
 def _(spark, d):
-    m, out = routed(spark, d), None
-    for name, rows, windows in (("regular", 250, 3), ("campaign", 300, 3), ("stock_constrained", 150, 3)):
-        part = mo.route_specialist(m, TARGETS[-1], route_masks()[name], F.col("median_naive"), rows, windows, **SIZE)
-        part = part.select(*sc.KEY, F.lit(f"specialist_{name}").alias("model_name"), "specialist_used", "pred_units_4w")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return sc.to_long(tree_rows(spark, d), list(mo.VARIANTS))
+
+
+@query("trained_candidates", None, sc.METRIC_DOUBLES, sc.METRIC_LONGS)
+def _(spark, d):
+    """Policies, route candidates and calibration points on the trained predictions: safe blend as control, forest as trees."""
+    from stocktide.operators import blend as bl
+    control, trees = F.col("safe_blend"), F.col("forest_units")
+    rows, champion = tree_rows(spark, d).withColumn("_ch", bl.policy_champion(control, trees)), F.col("_ch")
+    cols = {"champion": champion, "control": control} | bl.campaign_candidates(control) | bl.combined_candidates(control, trees)
+    cols |= bl.semantic_candidates(control, trees, champion) | bl.calibration_candidates(champion, control)
+    return bl.model_table(bl.candidate_rows(rows, cols, []), ["target_start", "model_name"])
 
 
 @query("feature_profiles", None, "pred_units_4w")
 def _(spark, d):
-    return mo.feature_profiles(routed(spark, d), TARGETS, TARGETS[-1], **SIZE)
+    return mo.feature_profiles(tree_rows(spark, d), routed(spark, d), TARGETS)
 
 
 @query("fc_gbt_global", None, "forecast_4w forecast_8w residual_std", "weeks_of_history")
 def _(spark, d):
-    return mo.gbt_global(folded(spark, d), K, depth=4, rounds=8)[0]
+    return mo.gbt_global(folded(spark, d), K, depth=mo.DEPTH, rounds=mo.ROUNDS)[0]
