@@ -97,8 +97,8 @@ def oracle_ceiling(rows: DataFrame, models: list[str], control: str, group: str)
 
 def _share(rows: DataFrame, column: str) -> DataFrame:
     g = rows.groupBy(column).agg(F.count(F.lit(1)).alias("row_count"), F.sum("actual_units").alias("actual_units"), F.sum("abs_error").alias("abs_error"))
-    w = Window.partitionBy(F.lit(1))  # a handful of classes
-    return g.withColumns({"row_share": F.col("row_count") / F.sum("row_count").over(w), "error_share": div(F.col("abs_error"), F.sum("abs_error").over(w))})
+    all_rows, all_error = (g.select(c).agg(F.sum(c)).scalar() for c in ("row_count", "abs_error"))
+    return g.withColumns({"row_share": F.col("row_count") / all_rows, "error_share": div(F.col("abs_error"), all_error)})
 
 
 def error_bands(rows: DataFrame) -> DataFrame:
@@ -118,8 +118,8 @@ def error_slices(rows: DataFrame, group: str) -> DataFrame:
     """Metrics of any column with its share of revenue and of the scored error."""
     err = F.sum(F.when(F.col("quantity_scored") == 1, F.col("abs_error")).otherwise(0.0))
     g = rows.groupBy(F.col(group).alias("group_value")).agg(*metric_aggregates(), F.sum("actual_revenue").alias("revenue"), err.alias("scored_error"))
-    w = Window.partitionBy(F.lit(1))  # one row per class
-    return g.withColumns({"revenue_share": F.col("revenue") / F.sum("revenue").over(w), "error_share": div(F.col("scored_error"), F.sum("scored_error").over(w))})
+    revenue, error = (g.select(c).agg(F.sum(c)).scalar() for c in ("revenue", "scored_error"))  # any number of classes, no single task
+    return g.withColumns({"revenue_share": F.col("revenue") / revenue, "error_share": div(F.col("scored_error"), error)})
 
 
 def top_error_skus(rows: DataFrame, k: int = 20) -> DataFrame:

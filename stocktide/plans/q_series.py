@@ -295,7 +295,20 @@ def _(spark, d):
     return fc.fc_category_relative(weekly(spark, d), K)
 
 
-@query("fc_holt_trend", None, RES_D, "weeks_of_history")
+_HOLT = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a in fc.HOLT_GRID for b in fc.HOLT_GRID)
+BLOCKS["fc_ht0"] = "SELECT sku_id, list(units::DOUBLE ORDER BY week_start) AS s, count(*) AS n, avg(units) AS m FROM ser_grid GROUP BY sku_id"
+BLOCKS["fc_ht1"] = f"""
+SELECT sku_id, n, m, a, b, list_reduce(list_transform(list_concat([NULL], s[2:]), lambda x: {{'l': coalesce(x, s[1]), 't': CASE WHEN n > 1 THEN s[2] - s[1] ELSE 0 END, 'e': 0::DOUBLE}}),
+ lambda st, y: {{'l': a * y.l + (1 - a) * (st.l + st.t), 't': b * (a * y.l + (1 - a) * (st.l + st.t) - st.l) + (1 - b) * st.t,
+  'e': st.e + (y.l - (st.l + st.t)) * (y.l - (st.l + st.t))}}) AS f FROM fc_ht0 CROSS JOIN (VALUES {_HOLT}) g(a, b)"""
+BLOCKS["fc_ht2"] = """
+SELECT *, sqrt(f.e / greatest(n - 1, 1)) AS sd, list_sum(list_transform(range(1, 5), lambda k: greatest(0, f.l + f.t * k))) AS a4, list_sum(list_transform(range(1, 9), lambda k: greatest(0, f.l + f.t * k))) AS a8
+FROM fc_ht1 QUALIFY row_number() OVER (PARTITION BY sku_id ORDER BY f.e, a, b) = 1"""
+BLOCKS["fc_ht"] = res_sql("fc_ht2", "holt_trend", "a4", "a8", "sd * sqrt(4)", "sd * sqrt(8)", _SHORT(52), "m",
+                          ", CASE WHEN f.t > 0.5 THEN 'GROWING' WHEN f.t < -0.5 THEN 'DECLINING' ELSE 'STABLE' END AS trend")
+
+
+@query("fc_holt_trend", "SELECT * FROM fc_ht", RES_D, "weeks_of_history")
 def _(spark, d):
     return fc.fc_holt_trend(folded(spark, d), K)
 
