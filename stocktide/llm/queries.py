@@ -37,7 +37,33 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
 
 
-@query("op9_secret_scan")
+# The base rules in RE2's words: pattern, group that is measured, fewest characters of it.
+_SECRETS = {
+    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    "access": (r"AKIA[A-Z0-9]+", 0, 16),
+    "hex": (r"[0-9a-f]{32,}", 0, 32),  # a run counts whole or not at all
+}
+
+
+def _spans_sql(rank: int, kind: str) -> str:
+    pattern, group, least = _SECRETS[kind]
+    return f"""list_filter(list_transform(range(1, len(m_{kind}) + 1), lambda i: {{
+  's': (coalesce(list_sum(list_transform(g_{kind}[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m_{kind}[1:i - 1], lambda x: length(x))), 0))::BIGINT,
+  'r': {rank}, 'k': '{kind}', 'n': length(m_{kind}[i])::BIGINT, 'c': length(c_{kind}[i])}}), lambda x: x.c >= {least})"""
+
+
+_LISTS = ", ".join(
+    f"regexp_extract_all(t, '{p}', 0) AS m_{k}, regexp_extract_all(t, '{p}', {g}) AS c_{k}, regexp_split_to_array(t, '{p}') AS g_{k}" for k, (p, g, _) in _SECRETS.items()
+)
+_OP9 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, {_LISTS} FROM d),
+ l AS (SELECT doc_id, list_sort(list_concat(list_concat({_spans_sql(0, 'assign')}, {_spans_sql(1, 'access')}), {_spans_sql(2, 'hex')})) AS sp FROM f),
+ o AS (SELECT doc_id, sp, coalesce(array_to_string(list_transform(sp, lambda x: x.k || ':' || x.s || ':' || (x.s + x.n)), ','), '') AS spans FROM l)
+SELECT doc_id, len(list_filter(sp, lambda x: x.k = 'assign'))::BIGINT AS n_assign, len(list_filter(sp, lambda x: x.k = 'access'))::BIGINT AS n_access,
+ len(list_filter(sp, lambda x: x.k = 'hex'))::BIGINT AS n_hex, spans, sha256(spans) AS base_sha256 FROM o"""
+
+
+@query("op9_secret_scan", _OP9)
 def op9(spark: SparkSession, d: str) -> DataFrame:
     from stocktide.llm import secret_scan
 
