@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stocktide.session import _checkpoint_dir, cut_lineage
 
-#: Splits the rows of one hot key before a join or a window needs them together.
+#: Parts that the rows of one hot key are split into before a join that meets one small row for each key.
 SALTS = 64
 
 

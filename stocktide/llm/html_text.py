@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stocktide.llm.common import SALTS
+
 #: Share of a page's running text that its main container holds at least.
 MAIN_SHARE = 0.6
 #: The winning path is used if it holds at least this share of the text of the page's own best container.
@@ -214,7 +216,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     paths = host_paths(pages, html_col, url_col)
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host")
-    ).join(paths, "host", "left")
+    ).withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+    # a host may have a third of all pages: they are spread over salts, and its one path goes to each of them
+    rows = rows.join(paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
