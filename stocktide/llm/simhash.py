@@ -38,26 +38,34 @@ MAX_BITS = 4
 LOW_BITS = 0x5555555555555555
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """64-bit SimHash of the word shingles of a whole text; 0 when it has no word."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """64-bit hashes of the word shingles of a whole text, in order; none when it has no word."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     flat = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(tokens) - words + 1)
     hash64 = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (hash64(flat[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())), np.uint64, n
     )
-    bits = np.zeros(64, np.int64)
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    bits, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 1 << 16):
         block = hashes[at:at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
         bits += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """64-bit SimHash of the word shingles of a whole text; 0 when it has no word."""
+    return simhash_of(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """``(id, fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
 
