@@ -2,10 +2,11 @@
 
 Every page is read into containers; each container has a generalised path (tags
 and classes, digits replaced) and the text blocks that lie in it outside
-boilerplate. A page votes for the path of its smallest container that holds most
-of its running text; the votes are added up per host in Spark, and every page of
-the host is read again with the winning path. A page without a container of that
-path, or with hardly any text in it, keeps its own best container.
+boilerplate. A page votes for the path of its smallest container that holds all
+of its running text, or of the article or main element around it; the votes are
+added up per host in Spark, and every page of the host is read again with the
+winning path. A page whose containers of that path leave running text out keeps
+its own container.
 """
 
 from __future__ import annotations
@@ -21,11 +22,6 @@ from pyspark.sql import functions as F
 
 from stocktide.llm.common import SALTS
 
-#: Share of a page's running text that its main container holds at least.
-MAIN_SHARE = 0.6
-#: The winning path is used if it holds at least this share of the text of the page's own best container.
-CONSENSUS_SHARE = 0.25
-
 # Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body div section article main td center".split())
@@ -62,6 +58,7 @@ class Page:
     def __init__(self, html: str):
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
+        self.tags: list[str] = [""]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters outside links
         self._read(html)
 
@@ -118,6 +115,7 @@ class Page:
             if tag in CONTAINERS:
                 self.paths.append(f"{self.paths[container]}>{tag}{names}")
                 self.parents.append(container)
+                self.tags.append(tag)
                 container = len(self.paths) - 1
             if not attributes or not attributes.rstrip().endswith("/") or tag not in VOID:
                 stack.append((tag, container, dropped, inside or tag in ("article", "main")))
@@ -149,22 +147,40 @@ class Page:
         return names, marked
 
     def best(self) -> int:
-        """Smallest container with most of the running text; the first of equals in depth order."""
+        """Smallest container with all running text, or the nearest article or main element that holds it."""
+        held = self._running()
+        if not held[0]:
+            return 0
+        own = max(k for k in range(len(held)) if held[k] == held[0])  # they are nested
+        up = own
+        while up > 0 and self.tags[up] not in ("article", "main"):
+            up = self.parents[up]
+        return up or own
+
+    def _running(self) -> list[int]:
+        """Characters outside links in each container, those within it included."""
         held = [0] * len(self.paths)
         for container, _, chars in self.blocks:
             held[container] += chars
-        total = sum(held)
         for k in range(len(held) - 1, 0, -1):  # a parent always comes before its children
             held[self.parents[k]] += held[k]
-        if not total:
-            return 0
-        return min((k for k in range(len(held)) if held[k] >= MAIN_SHARE * total), key=lambda k: (held[k], -k))
+        return held
 
-    def text(self, wanted: set[int]) -> str:
-        """Blocks that lie in one of the containers, joined by one space."""
+    def holds_all(self, wanted: set[int]) -> bool:
+        """Whether there is running text and none of it lies outside the containers."""
+        inside = self._inside(wanted)
+        places = [inside[container] for container, _, chars in self.blocks if chars]
+        return bool(places) and all(places)
+
+    def _inside(self, wanted: set[int]) -> list[bool]:
         inside = [False] * len(self.paths)
         for k in range(len(self.paths)):
             inside[k] = k in wanted or (k > 0 and inside[self.parents[k]])
+        return inside
+
+    def text(self, wanted: set[int]) -> str:
+        """Blocks that lie in one of the containers, joined by one space."""
+        inside = self._inside(wanted)
         return " ".join(text for container, text, _ in self.blocks if inside[container])
 
 
@@ -174,14 +190,13 @@ def vote(html: str | None) -> str:
 
 
 def extract(html: str | None, path: str | None) -> str:
-    """Text by the winning path of the host, or by the page's own best container."""
+    """Text by the winning path of the host if that loses no running text, or by the page's own container."""
     page = Page(html or "")
     own = page.best()
-    if not path or page.paths[own] == path:
-        same = {k for k, p in enumerate(page.paths) if p == path} if path else set()
-        return page.text(same | {own})
-    mine, theirs = page.text({own}), page.text({k for k, p in enumerate(page.paths) if p == path})
-    return theirs if len(theirs) >= CONSENSUS_SHARE * len(mine) else mine
+    same = {k for k, p in enumerate(page.paths) if p == path} if path else set()
+    if own not in same and not (same and page.holds_all(same)):
+        same = {own}
+    return page.text(same)
 
 
 def host_of(url: Column) -> Column:
