@@ -29,8 +29,11 @@ BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption address hgroup details summary fieldset caption"
     " table thead tbody tfoot tr th nav header footer aside form dialog menu".split()
 )
-DROPPED = frozenset("nav footer aside form dialog menu button select fieldset".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|object|canvas|title|select|button"
+DROPPED = frozenset("nav footer aside form dialog menu fieldset".split())
+#: Elements whose content is plain characters up to the closing tag, or to the end of the page.
+RAW = "script|style|textarea"
+#: Elements dropped within a run of text; one that is not closed ends with the block around it.
+HIDDEN = frozenset("noscript template iframe svg object canvas title select button".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 # Words of classes and ids that mark boilerplate, and words that mark content.
 BOILERPLATE_WORDS = frozenset(
@@ -42,7 +45,7 @@ BOILERPLATE_WORDS = frozenset(
 CONTENT_WORDS = frozenset("content article main post entry story body text page wrapper container layout".split())
 
 _MARKUP = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"""
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"""
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>|<[a-zA-Z/!][^<>]*\Z""",
     re.S | re.I,
 )
@@ -71,8 +74,9 @@ class Page:
             nonlocal linked
             if run:
                 text = " ".join("".join(run).split())
-                if text and not stack[-1][2]:
-                    self.blocks.append((stack[-1][1], text, max(0, len(text) - linked)))
+                if text:  # nothing is gathered inside dropped elements
+                    owner = next(container for _, container, dropped, _ in reversed(stack) if not dropped)
+                    self.blocks.append((owner, text, max(0, len(text) - linked)))
                 run.clear()
                 linked = 0
 
@@ -90,14 +94,34 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
+            if tag == "head" or tag == "body" and not m["close"]:
+                while stack[-1][0] in HIDDEN:
+                    stack.pop()
+            elif stack[-1][0] in ("title", "select") and tag in BLOCKS and not m["close"]:
+                stack.pop()  # they hold no block
+            if tag in HIDDEN:
+                if m["close"]:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k][0] == tag:
+                            del stack[k:]
+                        elif stack[k][2]:
+                            continue
+                        break
+                elif not m["attributes"].endswith("/"):
+                    _, container, _, inside = stack[-1]
+                    stack.append((tag, container, True, inside))
+                continue
             if tag not in BLOCKS:
+                if stack[-1][0] in HIDDEN:
+                    continue
                 if tag == "a":
                     in_link = 0 if m["close"] else 1
                 elif tag in ("br", "hr"):
                     flush()
                 continue
-            flush()
-            in_link = 0
+            if m["close"] or stack[-1][0] not in HIDDEN:
+                flush()
+                in_link = 0
             if m["close"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:

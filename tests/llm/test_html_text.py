@@ -21,3 +21,17 @@ def test_host_path_never_loses_running_text():
     assert html_text.extract(page, path) == html_text.extract(page, None) == f"Title Lead of it. {LONG.strip()} Last words."
     linked = f"<body><article><h1><a href='/'>Linked title</a></h1><div><p>{LONG}</p></div></article></body>"
     assert html_text.extract(linked, None) == f"Linked title {LONG.strip()}"
+
+
+def test_unclosed_and_self_closed_elements_end_with_their_block():
+    def text(inner, head=""):
+        return html_text.extract(f"<html><head>{head}</head><body><article><p>one</p><div>two {inner} x</div><p>three</p></article></body></html>", None)
+
+    for tag in ("button", "select", "noscript", "object", "template", "canvas", "iframe", "svg"):
+        assert text(f"<{tag}>gone") == "one two three"
+        assert text(f"<{tag} a='b'>gone</{tag}> kept") == "one two kept x three"
+    for tag in ("svg", "object", "iframe"):
+        assert text(f"<{tag} a='b'/> kept <svg><title>gone</title></svg>") == "one two kept x three"
+    assert text("", "<title>gone") == text("", "<noscript>gone") == "one two x three"
+    assert text("wor<svg><path/></svg>ld") == "one two world x three"
+    assert text("<script>var a = '</p>';</script><script src='a'/>") == "one two x three"
