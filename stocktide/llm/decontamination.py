@@ -11,6 +11,10 @@ and tables are repeated until a passage at the edit limit is found with the
 target recall (measured in the tests). Every meeting is verified: the item must
 occur in the document with at most ``MAX_EDITS`` of its words inserted, deleted
 or replaced.
+
+Short items have no window to speak of and are searched exactly: of one part more
+than edits are allowed, some part is unedited, so the parts are looked up word for
+word and what they meet is verified.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from stocktide.llm.common import text_or_empty
 MAX_EDITS = 0.2
 #: Walks, sampled steps of a key, horizons (steps) of the tables of each walk, documents' words between window starts.
 WALKS, SAMPLED, HORIZONS, STRIDE = 4, 7, (12, 16, 22), 3
-#: Items with fewer words have no window to speak of and must occur word for word.
+#: Items with fewer words are looked up by unedited parts, which loses none.
 FEWEST_WORDS = 12
 #: Items that are searched at once; more are taken block by block, so what tasks hold stays bounded.
 ITEM_BLOCK = 20_000
@@ -100,7 +104,7 @@ class ItemIndex:
     ids: list[int] = field(default_factory=list)
     words: list[list[int]] = field(default_factory=list)
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    short: dict[int, dict[int, list[int]]] = field(default_factory=dict)
+    short: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)  # words of a part: its hash: item, offset
 
 
 def _sequence_hash(words: list[int]) -> int:
@@ -110,7 +114,7 @@ def _sequence_hash(words: list[int]) -> int:
     return out
 
 
-def index_items(items: list[tuple[int, str | None]]) -> ItemIndex:
+def index_items(items: list[tuple[int, str | None]], max_edits: float = MAX_EDITS) -> ItemIndex:
     index = ItemIndex()
     flat, starts, ends, item_of, offset_of = [], [], [], [], []
     codes, sizes = word_codes([text for _, text in items])
@@ -120,7 +124,10 @@ def index_items(items: list[tuple[int, str | None]]) -> ItemIndex:
         index.ids.append(item_id)
         index.words.append(words)
         if 0 < len(words) < FEWEST_WORDS:
-            index.short.setdefault(len(words), {}).setdefault(_sequence_hash(words), []).append(n)
+            parts = min(int(max_edits * len(words)) + 1, len(words))
+            cuts = [k * len(words) // parts for k in range(parts + 1)]
+            for a, b in zip(cuts, cuts[1:]):
+                index.short.setdefault(b - a, {}).setdefault(_sequence_hash(words[a:b]), []).append((n, a))
         elif words:
             base = len(flat)
             starts += range(base, base + len(words))
@@ -186,8 +193,7 @@ def _chunk_leaks(texts: list[str | None], index: ItemIndex, max_edits: float) ->
     codes = np.zeros(at + gap, np.uint32)
     codes[np.arange(len(words)) + gap * np.repeat(np.arange(len(sizes)), sizes)] = words
     docs = [codes[b:b + n] for b, n in zip(bases.tolist(), sizes.tolist())]
-    for n, known in index.short.items():
-        yield from _short_leaks(docs, n, known)
+    yield from _short_leaks(docs, index, max_edits)
     if not index.tables:
         return
     starts = np.arange(0, at, STRIDE, dtype=np.int64)
@@ -221,25 +227,36 @@ def _chunk_leaks(texts: list[str | None], index: ItemIndex, max_edits: float) ->
         yield doc, item, edits
 
 
-def _short_leaks(docs: list[np.ndarray], n: int, known: dict[int, list[int]]) -> Iterator[tuple[int, int, int]]:
-    for doc, words in enumerate(docs):
-        if len(words) < n:
-            continue
-        row = words.astype(np.uint64)
-        keys = np.zeros(len(words) - n + 1, np.uint64)
-        for k in range(n):
-            keys = (keys ^ row[k:k + len(keys)]) * _PRIME
-        for item in sorted({i for key in set(keys.tolist()) & known.keys() for i in known[key]}):
-            yield doc, item, 0
-
-
-def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[ItemIndex]:
+def _short_leaks(docs: list[np.ndarray], index: ItemIndex, max_edits: float) -> Iterator[tuple[int, int, int]]:
+    known = {n: (np.array(sorted(parts), np.uint64), parts) for n, parts in index.short.items()}
+    for doc, words in enumerate(docs if known else []):
+        row, best = words.astype(np.uint64), {}
+        for n, (wanted, parts) in known.items():
+            if len(words) < n:
+                continue
+            keys = np.zeros(len(words) - n + 1, np.uint64)
+            for k in range(n):
+                keys = (keys ^ row[k:k + len(keys)]) * _PRIME
+            for place in np.flatnonzero(np.isin(keys, wanted)).tolist():
+                for item, offset in parts[int(keys[place])]:
+                    if best.get(item) == 0:
+                        continue
+                    look, limit = index.words[item], int(max_edits * len(index.words[item]))
+                    stretch = words[max(0, place - offset - limit):place - offset + len(look) + limit].tolist()
+                    edits = best_match(look, stretch)[0]
+                    if edits <= limit:
+                        best[item] = min(edits, best.get(item, edits))
+        for item in sorted(best):
+            yield doc, item, best[item]
+
+
+def _item_blocks(items: DataFrame, id_col: str, text_col: str, max_edits: float) -> Iterator[ItemIndex]:
     """Indexes of bounded blocks of the items (rows without id or text hold nothing to look for)."""
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     blocks = max(1, -(-rows.count() // ITEM_BLOCK))
     for k in range(blocks):
         block = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).distinct().orderBy("id", "text").collect()
-        yield index_items([(r.id, r.text) for r in block])
+        yield index_items([(r.id, r.text) for r in block], max_edits)
 
 
 def find_leaks(
@@ -271,7 +288,7 @@ def find_leaks(
 
         return rows.mapInArrow(run, "id long, item_id long, edits int")
 
-    found = reduce(DataFrame.unionAll, map(search, _item_blocks(items, item_id_col, item_text_col)))
+    found = reduce(DataFrame.unionAll, map(search, _item_blocks(items, item_id_col, item_text_col, max_edits)))
     return found.withColumnRenamed("id", id_col)
 
 
@@ -279,7 +296,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     """``docs`` without the rows whose ``text`` holds an item; all columns stay."""
     spark = docs.sparkSession
     place = docs.columns.index("text")
-    for index in _item_blocks(items, "item_id", "text"):
+    for index in _item_blocks(items, "item_id", "text", max_edits):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
