@@ -395,12 +395,12 @@ def _(spark, d):
 
 # ---- promotions ------------------------------------------------------------------------
 def discount_rows(spark, d):
-    """Discount accounting lines written as text, one per discounted line."""
-    t = fx.table(spark, d, "lineitem").where("l_discount >= 0.09").join(fx.table(spark, d, "part"), F.expr("l_partkey = p_partkey"))
+    """All lines written as accounting lines: those of at least 9 % discount have a discount code, the others their product's."""
+    t = fx.table(spark, d, "lineitem").join(fx.table(spark, d, "part"), F.expr("l_partkey = p_partkey"))
     t = t.withColumn("s", F.expr("date_add(DATE '1999-06-01', CAST(l_suppkey * 13 % 700 AS INT))")).withColumn("e", F.expr("date_add(s, CAST(10 + l_suppkey % 20 AS INT))"))
     return t.select(
         "l_orderkey", "l_linenumber", *_ORD,
-        F.expr("CASE l_suppkey % 10 WHEN 8 THEN 'DISCOUNT' WHEN 9 THEN 'VOUCHERVANZARE' ELSE concat('DISCOUNT', l_suppkey) END").alias("item_code"),
+        F.expr("CASE WHEN l_discount < 0.09 OR l_discount IS NULL THEN concat('P', l_partkey) ELSE CASE l_suppkey % 10 WHEN 8 THEN 'DISCOUNT' WHEN 9 THEN 'VOUCHERVANZARE' ELSE concat('DISCOUNT', l_suppkey) END END").alias("item_code"),
         F.expr("""CASE WHEN l_suppkey % 10 = 8 AND l_linenumber % 2 = 0 THEN 'Fidelizare client' WHEN month(s) = month(e) AND year(s) = year(e)
           THEN concat('Campanie ', lower(p_type), ' ', 5 + l_suppkey % 30, ' %, ', day(s), '-', date_format(e, 'dd.MM.yyyy'))
           ELSE concat('Campanie ', lower(p_type), ' ', 5 + l_suppkey % 30, '%, ', date_format(s, 'dd.MM'), ' - ', date_format(e, 'dd.MM.yyyy')) END""").alias("description"))
@@ -420,7 +420,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedpri
 
 @query("promo_text_fields", "SELECT line_type, start_date, end_date, discount_percent, category, confidence, count(*) AS row_count FROM dl GROUP BY ALL", "discount_percent confidence", "row_count")
 def _(spark, d):
-    f = pr.promo_text_fields(discount_rows(spark, d), words=WORDS)
+    f = pr.promo_text_fields(pr.discount_lines(discount_rows(spark, d)), words=WORDS)
     return f.groupBy("line_type", "start_date", "end_date", "discount_percent", "category", "confidence").agg(F.count(F.lit(1)).alias("row_count"))
 
 
