@@ -54,4 +54,4 @@ def _(spark, d):
 
 @query("fc_gbt_global", None, "forecast_4w forecast_8w residual_std", "weeks_of_history")
 def _(spark, d):
-    return mo.gbt_global(folded(spark, d), K, depth=mo.DEPTH, rounds=mo.ROUNDS)[0]
+    return mo.gbt_global(folded(spark, d), K)[0]
