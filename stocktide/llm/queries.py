@@ -124,3 +124,12 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     from stocktide.llm.repeats import remove_repeats
 
     return remove_repeats(table(spark, d, "documents")).drop("kept")
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of the documents, one in ten of which is given a periodic end."""
+    from stocktide.llm import periodic_runs
+
+    docs = periodic_runs.with_periodic_tails(table(spark, d, "documents"))
+    return periodic_runs.digests(periodic_runs.find_runs(docs))
