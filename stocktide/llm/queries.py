@@ -133,3 +133,16 @@ def op11(spark: SparkSession, d: str) -> DataFrame:
 
     docs = periodic_runs.with_periodic_tails(table(spark, d, "documents"))
     return periodic_runs.digests(periodic_runs.find_runs(docs))
+
+
+_OP12 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+ g AS (SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM d GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)"""
+
+
+@query("op12_exact_dedup", _OP12)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    from stocktide.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, d, "documents"))
