@@ -146,3 +146,10 @@ def op12(spark: SparkSession, d: str) -> DataFrame:
     from stocktide.llm.exact_dedup import exact_duplicates
 
     return exact_duplicates(table(spark, d, "documents"))
+
+
+@query("op13_importance_resampling")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    from stocktide.llm.resampling import resample
+
+    return resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
