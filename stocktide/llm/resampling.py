@@ -186,10 +186,9 @@ def gains(corpus: DataFrame, target: DataFrame) -> DataFrame:
     s, t = corpus.select("bucket", F.col("n").alias("s")), target.select("bucket", F.col("n").alias("t"))
     all_buckets = corpus.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"))
     rows = all_buckets.join(s, "bucket", "left").join(t, "bucket", "left").fillna(0, ["s", "t"])
-    sums = rows.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))  # one row
-    rows = rows.crossJoin(F.broadcast(sums))
+    all_s, all_t = rows.agg(F.sum("s"), F.sum("t")).first()
     dbl = lambda c: c.cast("double")
-    ratio = dbl(F.col("t") + 1) * dbl(F.col("all_s") + BUCKETS) / (dbl(F.col("s") + 1) * dbl(F.col("all_t") + BUCKETS))
+    ratio = dbl(F.col("t") + 1) * F.lit(float(all_s + BUCKETS)) / (dbl(F.col("s") + 1) * F.lit(float(all_t + BUCKETS)))
     return rows.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))
 
 
@@ -242,7 +241,7 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     target texts every bucket's share in the target is the same. Columns other than
     the named ones are not read.
     """
-    table = gains(bucket_counts(docs, text_col), bucket_counts(target, target_text))
+    table = gains(staged(bucket_counts(docs, text_col)), staged(bucket_counts(target, target_text)))
     rows = staged(weights(docs, table, id_col, text_col).withColumn("score", F.col("weight") + noise(F.col("id"), seed)))
     able = rows.where(F.col("n_words") >= fewest_words)
     drawn = able.count() * percent // 100
