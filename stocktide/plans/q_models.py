@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stocktide.operators import blend as bl
 from stocktide.operators import models as mo
 from stocktide.operators import score as sc
 from stocktide.plans import fixtures as fx
@@ -12,10 +13,21 @@ from stocktide.plans.q_features import routed
 from stocktide.plans.q_series import K, folded
 from stocktide.plans.registry import query
 
+BLEND_PARTS = ("boost_poisson", "extra_trees")
+
+
+def fitted(spark, d):
+    """All three trees on every target that has enough earlier ones."""
+    return fx.shared(spark, d, "trees_fitted", lambda: mo.fit_walk_forward(routed(spark, d), TARGETS))
+
 
 def tree_rows(spark, d):
-    """All trees, the safe blend and the route variants on every target that has enough earlier ones."""
-    return fx.shared(spark, d, "trees", lambda: mo.walk_forward_trees(routed(spark, d), TARGETS, specialists=True))
+    return fx.shared(spark, d, "trees", lambda: mo.walk_forward_trees(routed(spark, d), TARGETS, fitted=fitted(spark, d)))
+
+
+def blend_rows(spark, d):
+    """What the safe blend is made of, without the model it leaves out."""
+    return fx.shared(spark, d, "blend_trees", lambda: mo.walk_forward_trees(routed(spark, d), TARGETS, names=BLEND_PARTS))
 
 
 @query("fc_direct_trees", None, "pred_units_4w")
@@ -23,25 +35,30 @@ def _(spark, d):
     return sc.to_long(tree_rows(spark, d), [*mo.MODELS, "safe_blend"])
 
 
+@query("boosting_rounds", None, "first_error best_error", "rounds_grown rounds_kept")
+def _(spark, d):
+    """Rounds that boosting grew and kept for each target, by the error of held rows."""
+    return mo.rounds_kept(fitted(spark, d)).withColumnRenamed("t", "target_start")
+
+
 @query("walk_forward", None, sc.METRIC_DOUBLES, sc.METRIC_LONGS)
 def _(spark, d):
     """Score of every model on each target, trained on the targets before it."""
-    from stocktide.operators.blend import candidate_rows, model_table
     cols = {m: F.col(m) for m in (*mo.MODELS, "safe_blend", "post_bf_safe_naive", "median_naive")}
-    return model_table(candidate_rows(tree_rows(spark, d), cols, []), ["target_start", "model_name"])
+    return bl.model_table(bl.candidate_rows(tree_rows(spark, d), cols, []), ["target_start", "model_name"])
 
 
 @query("route_specialists", None, "pred_units_4w")
 def _(spark, d):
-    return sc.to_long(tree_rows(spark, d), list(mo.VARIANTS))
+    rows = mo.walk_forward_trees(routed(spark, d), TARGETS, names=BLEND_PARTS, specialists=True)
+    return sc.to_long(rows, list(mo.VARIANTS))
 
 
 @query("trained_candidates", None, sc.METRIC_DOUBLES, sc.METRIC_LONGS)
 def _(spark, d):
     """Policies, route candidates and calibration points on the trained predictions: safe blend as control, forest as trees."""
-    from stocktide.operators import blend as bl
-    control, trees = F.col("safe_blend"), F.col("forest_units")
-    rows, champion = tree_rows(spark, d).withColumn("_ch", bl.policy_champion(control, trees)), F.col("_ch")
+    control, trees = F.col("safe_blend"), F.col("extra_trees")
+    rows, champion = blend_rows(spark, d).withColumn("_ch", bl.policy_champion(control, trees)), F.col("_ch")
     cols = {"champion": champion, "control": control} | bl.campaign_candidates(control) | bl.combined_candidates(control, trees)
     cols |= bl.semantic_candidates(control, trees, champion) | bl.calibration_candidates(champion, control)
     return bl.model_table(bl.candidate_rows(rows, cols, []), ["target_start", "model_name"])
@@ -49,9 +66,9 @@ def _(spark, d):
 
 @query("feature_profiles", None, "pred_units_4w")
 def _(spark, d):
-    return mo.feature_profiles(tree_rows(spark, d), routed(spark, d), TARGETS)
+    return mo.feature_profiles(blend_rows(spark, d), routed(spark, d), TARGETS)
 
 
-@query("fc_gbt_global", None, "forecast_4w forecast_8w residual_std", "weeks_of_history")
+@query("fc_gbt_global", None, "forecast_4w forecast_8w residual_std", "weeks_of_history rounds_grown rounds_kept")
 def _(spark, d):
-    return mo.gbt_global(folded(spark, d), K)[0]
+    return mo.gbt_global(folded(spark, d), K).drop("importance")
