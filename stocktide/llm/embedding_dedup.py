@@ -72,8 +72,8 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) ->
     unsure = estimate >= (threshold - bound)[:, None]
     if same:
         unsure &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
-    if unsure.mean() > 0.05:
-        return np.nonzero(unsure & (x @ y.T >= threshold))
+    if unsure.mean() > 0.05:  # one product of matrices leaves out what is surely too far; what is left is decided as elsewhere
+        unsure &= x @ y.T >= threshold - 1e-9
     a, b = np.nonzero(unsure)
     good = np.concatenate([
         np.einsum("ij,ij->i", x[a[k:k + PAIRS // 8]], y[b[k:k + PAIRS // 8]]) >= threshold for k in range(0, len(a), PAIRS // 8)
@@ -81,11 +81,11 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) ->
     return a[good], b[good]
 
 
-def _unit_of_work(t: pa.Table, bits: int, tables: int, threshold: float) -> pa.RecordBatch | None:
+def _unit_of_work(t: pa.Table, bits: int, tables: int, threshold: float, kind: type) -> pa.RecordBatch | None:
     """Links of one pair of blocks: sums for each vector, and an edge to the smallest it is connected to here."""
     cid, many = t["cid"].to_numpy(), t["many"].to_numpy()
     block, table_no = t["block"].to_numpy(), t["table"][0].as_py()
-    x = np.frombuffer(b"".join(t["vector"].to_pylist()), np.float32).reshape(t.num_rows, -1).astype(float)
+    x = np.frombuffer(b"".join(t["vector"].to_pylist()), kind).reshape(t.num_rows, -1).astype(float)
     x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     low, high = t["low"][0].as_py(), t["high"][0].as_py()
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
@@ -121,8 +121,9 @@ def _meetings(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                 by_dim.setdefault(n, []).append(i)
             for dim, rows in by_dim.items():
                 part = b.take(pa.array(rows))
-                x = np.asarray(part.column(2).flatten(), dtype=np.float32).reshape(len(rows), dim)
-                scaled = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows
+                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
+                # so that no square overflows; a power of two leaves the components as they are
+                scaled = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]).astype(x.dtype)
                 keys = keys_of(scaled.astype(float), bits, tables)
                 vectors = [v.tobytes() for v in scaled]
                 for t in range(tables):
@@ -136,6 +137,7 @@ def _meetings(classes: DataFrame, bits: int, tables: int) -> DataFrame:
 
 def _links(classes: DataFrame, bits: int, tables: int, threshold: float) -> DataFrame:
     met = _meetings(classes, bits, tables)
+    kind = np.float64 if _element(classes, "embedding") == "double" else np.float32
     large = met.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     units = (
@@ -165,12 +167,17 @@ def _links(classes: DataFrame, bits: int, tables: int, threshold: float) -> Data
 
     def finish(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(held)
-        return _unit_of_work(t, bits, tables, threshold) if t.num_rows > 1 else None
+        return _unit_of_work(t, bits, tables, threshold, kind) if t.num_rows > 1 else None
 
     dealt = units.repartition(shuffle_partitions(classes.sparkSession), *unit).sortWithinPartitions(*unit)
     return dealt.mapInArrow(run, "a long, b long, links long")
 
 
+def _element(rows: DataFrame, c: str) -> str:
+    """Type that the components of a vector column are kept in: 32-bit ones as they are, all others as doubles."""
+    return "float" if rows.schema[c].dataType.simpleString() == "array<float>" else "double"
+
+
 def _usable(c: str) -> Column:
     e = F.col(c)
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -186,8 +193,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     component, kept. Vectors of different length never link. Repeated rows are
     other vectors to each other and link at cosine 1. An empty table gives none.
     """
-    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("raw"))
-    base = base.withColumn("embedding", F.when(_usable("raw") & F.col("id").isNotNull(), F.transform("raw", lambda v: v + F.lit(0.0).cast("float"))))
+    kind = _element(rows, vector_col)
+    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("raw"))
+    base = base.withColumn("embedding", F.when(_usable("raw") & F.col("id").isNotNull(), F.transform("raw", lambda v: v + F.lit(0.0).cast(kind))))
     alone = base.where(F.col("embedding").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     usable = base.where(F.col("embedding").isNotNull())
     classes = usable.groupBy("embedding").agg(F.min("id").alias("low_id"), F.count(F.lit(1)).alias("many"))
