@@ -6,8 +6,13 @@ and an error text when it had to fall back.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stocktide.functions.calendar import calendar_weeks
 from stocktide.functions.numbers import positive
@@ -185,7 +190,7 @@ def fc_category_relative(weekly: DataFrame, keys: list[str], value: str = "units
     last = weekly.withColumn("_r", rank).where(F.col("_r") <= 4).join(cat, ["category", "week_start"])
     share = last.groupBy(*keys).agg(F.sum(value).alias("mine"), F.sum("total").alias("all"))
     rows = weekly.groupBy(*keys).agg(
-        F.first("category").alias("category"), F.count(F.lit(1)).cast("int").alias("weeks_of_history"),
+        F.max_by("category", "week_start").alias("category"), F.count(F.lit(1)).cast("int").alias("weeks_of_history"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
     df = rows.join(share, keys).join(level, "category")
     error = F.coalesce(
@@ -197,25 +202,46 @@ def fc_category_relative(weekly: DataFrame, keys: list[str], value: str = "units
                   None, {"category_trend": F.when(error.isNotNull(), "STABLE").when(ratio > 1.03, "GROWING").when(ratio < 0.97, "DECLINING").otherwise("STABLE")})
 
 
+def holt_fits(series: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squared one-step error, level and trend of each series under its best pair of rates; all series and pairs advance week by week."""
+    size = np.array([len(s) for s in series])
+    order = np.argsort(-size, kind="stable")  # the series that go on are always the first ones
+    values = np.zeros((len(series), int(size.max(initial=1))))
+    for row, k in enumerate(order.tolist()):
+        values[row, :size[k]] = series[k]
+    alpha, beta = (np.array(g) for g in zip(*[(a, b) for a in HOLT_GRID for b in HOLT_GRID]))
+    level = np.repeat(values[:, :1], len(alpha), axis=1)
+    second = values[:, 1] if values.shape[1] > 1 else values[:, 0]
+    trend = np.repeat(np.where(size[order] > 1, second - values[:, 0], 0.0)[:, None], len(alpha), axis=1)
+    error = np.zeros_like(level)
+    for week in range(1, values.shape[1]):
+        n = int(np.searchsorted(-size[order], -week, side="left"))
+        forecast, x = level[:n] + trend[:n], values[:n, week:week + 1]
+        now = alpha * x + (1 - alpha) * forecast
+        trend[:n] = beta * (now - level[:n]) + (1 - beta) * trend[:n]
+        level[:n] = now
+        error[:n] += (x - forecast) * (x - forecast)
+    best = error.argmin(axis=1)
+    back = np.argsort(order)
+    return tuple(v[np.arange(len(best)), best][back] for v in (error, level, trend))
+
+
+def _with_holt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        series = [np.asarray(s or [0.0], float) for s in b.column("series").to_pylist()]
+        fits = holt_fits(series) if series else (np.empty(0),) * 3
+        names = ("holt_error", "holt_level", "holt_trend")
+        yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, fits)], names=[*b.schema.names, *names])
+
+
 def fc_holt_trend(folded: DataFrame, keys: list[str]) -> DataFrame:
     """Holt linear trend; the two smoothing rates are the grid pair with the least squared one-step error."""
     s = F.col("series")
-    grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in HOLT_GRID for b in HOLT_GRID])
-    start = F.struct(s[0].alias("l"), F.when(F.size(s) > 1, s[1] - s[0]).otherwise(0.0).alias("t"), F.lit(0.0).alias("e"))
-
-    def fit(g):
-        def step(st, x):
-            fc = st["l"] + st["t"]
-            level = g["a"] * x + (1 - g["a"]) * fc
-            return F.struct(level.alias("l"), (g["b"] * (level - st["l"]) + (1 - g["b"]) * st["t"]).alias("t"),
-                            (st["e"] + (x - fc) * (x - fc)).alias("e"))
-        f = F.aggregate(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), start, step)
-        return F.struct(f["e"].alias("e"), g["a"].alias("a"), g["b"].alias("b"), f["l"].alias("l"), f["t"].alias("t"))
-
-    df = folded.withColumn("_b", F.array_min(F.transform(grid, fit)))
-    ahead = lambda h: F.aggregate(F.sequence(F.lit(1), F.lit(h)), F.lit(0.0), lambda acc, k: acc + positive(F.col("_b.l") + F.col("_b.t") * k))
-    sd = F.sqrt(F.col("_b.e") / F.greatest(F.size(s) - 1, F.lit(1)))
-    t = F.col("_b.t")
+    schema = StructType([*folded.schema.fields, *[StructField(n, DoubleType()) for n in ("holt_error", "holt_level", "holt_trend")]])
+    df = folded.mapInArrow(_with_holt, schema)
+    level, t = F.col("holt_level"), F.col("holt_trend")
+    ahead = lambda h: F.aggregate(F.sequence(F.lit(1), F.lit(h)), F.lit(0.0), lambda acc, k: acc + positive(level + t * k))
+    sd = F.sqrt(F.col("holt_error") / F.greatest(F.size(s) - 1, F.lit(1)))
     return result(df, keys, "holt_trend", ahead(4), ahead(8), sd * F.sqrt(F.lit(4.0)), sd * F.sqrt(F.lit(8.0)), short_history(52), mean(s),
                   {"trend": F.when(t > 0.5, "GROWING").when(t < -0.5, "DECLINING").otherwise("STABLE")})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,35 +96,53 @@ def promo_lift(ratios: DataFrame, min_events: int = 30) -> DataFrame:
     return g.select("category", "promo_events", "non_promo_events", F.when(ok, F.col("p") / F.col("q")).alias("lift"))
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw from a uniform number.
+#: Means of the Poisson draws that a count is made of, largest first.
+DRAWS = (16, 8, 4, 2, 1)
+#: Decimals that ratios are taken at, so that equal ones fall together.
+RATIO_DIGITS = 9
 
-    The limits go on until the next one can't be told from 1 in double
-    precision (17 and more has a probability below 1e-15), so nothing is cut.
-    """
-    limits, term, cum, k = [], 2.718281828459045 ** -1, 0.0, 0
-    while cum + term > cum:
+
+def poisson_limits(mean: int) -> list[float]:
+    """Upper limits of 0, 1, 2, ... for a uniform number; they go on until the next one can't be told from 1 in double precision."""
+    limits, term, cum, k = [], math.exp(-mean), 0.0, 0
+    while cum + term > cum or k < mean:
         cum += term
-        limits.append((cum, k))
+        limits.append(cum)
         k += 1
-        term /= k
-    out = F.lit(k)
-    for limit, k in reversed(limits):
-        out = F.when(u < limit, k).otherwise(out)
-    return out
+        term *= mean / k
+    return limits
+
+
+def poisson_draw(u: Column, mean: int) -> Column:
+    """Poisson draw from a uniform number: how many limits lie at or below it."""
+    return F.size(F.filter(F.array(*map(F.lit, poisson_limits(mean))), lambda limit: limit <= u))
 
 
 def promo_lift_ci(ratios: DataFrame, samples: int = 1000, seed: int = 42, min_events: int = 30) -> DataFrame:
-    """95 % interval of the lift by a Poisson bootstrap.
+    """95 % interval of the lift by a Poisson bootstrap on sufficient statistics.
 
-    Each row draws its own weight per resample from a seeded hash, so nothing
-    has to be gathered: weighted sums per (category, resample) combine in the
-    map tasks and only ``samples`` rows per category are shuffled.
+    A bootstrap draws a Poisson(1) weight for each row, and the weights of n equal
+    rows add up to one Poisson(n) draw. So rows with equal category, flag and ratio
+    (at nine decimals) are counted first; a count is drawn as independent draws of
+    mean 16, 8, 4, 2 and 1 that add up to it, each from the first 32 bits of the MD5
+    of its name. Sums per (category, resample) combine in the map tasks.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "sku_id", "week_start", "b"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    r = ratios.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("w", poisson_weight(u))
+    unit = 10 ** RATIO_DIGITS
+    equal = ratios.groupBy("category", "promo_flag", F.round(F.col("ratio") * unit).cast("long").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    copies = F.concat(F.array_repeat(F.lit(DRAWS[0]), F.floor(F.col("n") / DRAWS[0]).cast("int")),
+                      *[F.array_repeat(F.lit(m), F.floor(F.col("n") / m).cast("int") % 2) for m in DRAWS[1:]])
+    parts = equal.select("category", "promo_flag", "r", F.posexplode(copies).alias("copy", "mean"))
+    # a few rows become many: they are spread first, whatever their bytes
+    spread = int(ratios.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = parts.repartition(spread, "r", "copy").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    name = F.concat_ws("|", F.lit(str(seed)), "category", "promo_flag", "r", "copy", "b")
+    u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") + 0.5) / F.lit(4294967296.0)
+    draw = F.lit(0)
+    for m in DRAWS:
+        draw = F.when(F.col("mean") == m, poisson_draw(F.col("u"), m)).otherwise(draw)
+    r = r.withColumn("u", u).withColumn("w", draw).where("w > 0").withColumn("ratio", F.col("r") / unit)
     on = F.col("promo_flag") == 1
-    part = lambda c, x: F.sum(F.when(c, x))
+    part = lambda c, x: F.sum(F.when(c, x))
     g = r.groupBy("category", "b").agg(
         (part(on, F.col("w") * F.col("ratio")) / part(on, F.col("w"))).alias("p"),
         (part(~on, F.col("w") * F.col("ratio")) / part(~on, F.col("w"))).alias("q"))

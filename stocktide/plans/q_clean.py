@@ -455,16 +455,32 @@ def ratios(spark, d):
     return pr.yearly_ratios(w, pr.sku_promo_weeks(w, calendar(spark, d)))
 
 
-@query("promo_lift", """
-WITH r AS (SELECT n.category, promo_flag, n.units / p.units AS ratio FROM aser n JOIN aser p ON p.sku_id = n.sku_id AND p.week_start = n.week_start - 364 JOIN spw s ON s.sku_id = n.sku_id AND s.week_start = n.week_start WHERE p.units <> 0)
-SELECT category, count(*) FILTER (promo_flag = 1) AS promo_events, count(*) FILTER (promo_flag = 0) AS non_promo_events,
- CASE WHEN count(*) FILTER (promo_flag = 1) >= 30 AND avg(ratio) FILTER (promo_flag = 0) > 0 THEN avg(ratio) FILTER (promo_flag = 1) / avg(ratio) FILTER (promo_flag = 0) END AS lift FROM r GROUP BY category""",
+BLOCKS["plr"] = """
+SELECT n.category, promo_flag, n.units / p.units AS ratio FROM aser n JOIN aser p ON p.sku_id = n.sku_id AND p.week_start = n.week_start - 364 JOIN spw s ON s.sku_id = n.sku_id AND s.week_start = n.week_start WHERE p.units <> 0"""
+_LIFT = """SELECT category, count(*) FILTER (promo_flag = 1) AS promo_events, count(*) FILTER (promo_flag = 0) AS non_promo_events,
+ CASE WHEN count(*) FILTER (promo_flag = 1) >= 30 AND avg(ratio) FILTER (promo_flag = 0) > 0 THEN avg(ratio) FILTER (promo_flag = 1) / avg(ratio) FILTER (promo_flag = 0) END AS lift FROM plr GROUP BY category"""
+
+
+@query("promo_lift", _LIFT,
        "lift", "promo_events non_promo_events")
 def _(spark, d):
     return pr.promo_lift(ratios(spark, d))
 
 
-@query("promo_lift_ci", None, "lift ci_low ci_high", "promo_events non_promo_events")
+_DRAW = "CASE mean " + " ".join(f"WHEN {m} THEN len(list_filter([{', '.join(repr(x) for x in pr.poisson_limits(m))}], lambda x: x <= u))" for m in pr.DRAWS) + " END"
+
+
+@query("promo_lift_ci", f"""
+WITH eq AS (SELECT category, promo_flag, CAST(round(ratio * 1000000000) AS BIGINT) AS r, count(*) AS n FROM plr GROUP BY ALL),
+ cp AS (SELECT category, promo_flag, r, list_concat([16 FOR i IN range(n // 16)], [m FOR m IN [8, 4, 2, 1] IF (n // m) % 2 = 1]) AS means FROM eq),
+ pt AS (SELECT category, promo_flag, r, unnest(means) AS mean, unnest(range(len(means))) AS copy FROM cp),
+ un AS (SELECT *, (CAST('0x' || substr(md5(concat_ws('|', '42', category, promo_flag, r, copy, b)), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS u FROM pt, (SELECT unnest(range(1, 1001)) AS b) bs),
+ dr AS (SELECT category, promo_flag, b, r / 1000000000::DOUBLE AS ratio, {_DRAW} AS w FROM un),
+ sm AS (SELECT category, b, sum(w * ratio) FILTER (promo_flag = 1) / sum(w) FILTER (promo_flag = 1 AND w > 0) AS p,
+  sum(w * ratio) FILTER (promo_flag = 0) / sum(w) FILTER (promo_flag = 0 AND w > 0) AS q FROM dr GROUP BY ALL),
+ ci AS (SELECT category, quantile_cont(p / q, 0.025) AS lo, quantile_cont(p / q, 0.975) AS hi FROM sm WHERE q > 0 AND p IS NOT NULL GROUP BY category)
+SELECT l.*, CASE WHEN lift IS NOT NULL THEN lo END AS ci_low, CASE WHEN lift IS NOT NULL THEN hi END AS ci_high FROM ({_LIFT}) l LEFT JOIN ci ON ci.category = l.category""",
+       "lift ci_low ci_high", "promo_events non_promo_events")
 def _(spark, d):
     return pr.promo_lift_ci(ratios(spark, d))
 

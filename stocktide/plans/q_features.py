@@ -12,7 +12,7 @@ from stocktide.operators import stock as sk
 from stocktide.plans import fixtures as fx
 from stocktide.plans.fixtures import TARGETS
 from stocktide.plans.oracle import BLOCKS
-from stocktide.plans.q_core import actuals_of, chain, labels_of, naive_of
+from stocktide.plans.q_core import chain, labels_of
 from stocktide.plans.registry import query
 
 
@@ -24,9 +24,7 @@ def matrix(spark, d):
     """Feature matrix of all targets, all skus."""
     weekly = chain(spark, d)
     store, sup = stock_tables(spark, d)
-    return ft.feature_matrix(
-        labels_of(spark, d), naive_of(spark, d), ft.window_features(weekly, TARGETS), ft.campaign_history_features(weekly, TARGETS),
-        sk.stock_features(store, TARGETS), sk.supplier_stock_features(sup, TARGETS), actuals_of(spark, d))
+    return ft.feature_matrix(labels_of(spark, d), ft.history_blocks(weekly, TARGETS), sk.stock_features(store, TARGETS), sk.supplier_stock_features(sup, TARGETS))
 
 
 def routed(spark, d):
@@ -300,12 +298,12 @@ def _(spark, d):
     return ft.population_filter(labels_of(spark, d), "business_target", 100).select(*sc.KEY, "regime", "revenue_rank")
 
 
-@query("headline_or_proxy", f"""
-SELECT sku_id, count(*) FILTER (pos_units > 0) AS active_weeks, sum(pos_units) AS units, sum(net_revenue) AS revenue FROM wpos
-WHERE week_start >= DATE '{TARGETS[0]}' - 364 AND week_start < DATE '{TARGETS[0]}' GROUP BY ALL
+@query("headline_or_proxy", """
+SELECT target_start, sku_id, count(*) FILTER (pos_units > 0) AS active_weeks, sum(pos_units) AS units, sum(net_revenue) AS revenue
+FROM wpos JOIN targets ON week_start >= target_start - 364 AND week_start < target_start GROUP BY ALL
 HAVING count(*) FILTER (pos_units > 0) >= 12 AND sum(pos_units) >= 26 AND sum(net_revenue) > 0""", "units revenue", "active_weeks")
 def _(spark, d):
-    return ft.headline_or_proxy(None, chain(spark, d), TARGETS[0])
+    return ft.headline_or_proxy(None, chain(spark, d), TARGETS)
 
 
 _TC = "target_month target_quarter target_weekofyear target_is_q4 target_is_black_friday_month target_is_bf_window target_is_pre_bf_4w target_is_post_bf_4w target_days_from_bf_start target_days_from_bf_end horizon_bf_overlap_days horizon_pre_bf_overlap_days horizon_post_bf_overlap_days"
@@ -475,27 +473,37 @@ def _(spark, d):
 _LONGS = ["IANUARIE", "FEBRUARIE", "MARTIE", "APRILIE", "MAI", "IUNIE", "IULIE", "AUGUST", "SEPTEMBRIE", "OCTOMBRIE", "NOIEMBRIE", "DECEMBRIE"]
 
 
-@query("scan_monthly_store_stock", """
-SELECT sku_id, store_id, stock_month, sum(stock_qty) AS stock_qty, count(*) AS source_row_count FROM stock_m
-WHERE year(stock_month) = 2000 AND store_id IN (SELECT store_id FROM txn_mixed) GROUP BY ALL""", "stock_qty", "source_row_count")
+def _years(spark, d) -> list[int]:
+    """Years of the order lines; a wide file has a column for each of their months."""
+    years = fx.txn(spark, d, parts=False, stores=False).agg(F.min(F.year("sale_date")).alias("a"), F.max(F.year("sale_date")).alias("b")).first()
+    return list(range(years["a"], years["b"] + 1)) if years["a"] is not None else []
+
+
+# Month labels name years from 2000 on, so earlier ones are written LATER years on.
+LATER = 20
+
+
+@query("scan_monthly_store_stock", f"""
+SELECT sku_id, store_id, CAST(stock_month + INTERVAL {LATER} YEAR AS DATE) AS stock_month, sum(stock_qty) AS stock_qty, count(*) AS source_row_count FROM stock_m
+WHERE store_id IN (SELECT store_id FROM txn_mixed) GROUP BY ALL""", "stock_qty", "source_row_count")
 def _(spark, d):
-    """Wide text columns (derived from the stock rows of one year) back to long."""
-    s = fx.stock_monthly_store(spark, d).where("year(stock_month) = 2000")
-    cell = lambda m: F.max(F.when(F.month("stock_month") == m, F.col("stock_qty"))).cast("string")
+    """Wide text columns (all months of the stock rows) back to long."""
+    s = fx.stock_monthly_store(spark, d)
+    cell = lambda y, m: F.max(F.when((F.year("stock_month") == y) & (F.month("stock_month") == m), F.col("stock_qty"))).cast("string")
     wide = s.groupBy("sku_id", "store_id").agg(*[
-        F.replace(cell(m), F.lit("."), F.lit(",")).alias(f"{n} 2000/STOC") for m, n in enumerate(_LONGS, 1)])
+        F.replace(cell(y, m), F.lit("."), F.lit(",")).alias(f"{n} {y + LATER}/STOC") for y in _years(spark, d) for m, n in enumerate(_LONGS, 1)])
     return sk.monthly_store_stock(wide, ["sku_id", "store_id"], fx.txn(spark, d, parts=False))
 
 
-@query("scan_supplier_stock", """
+@query("scan_supplier_stock", f"""
 SELECT stock_month, supplier_key, product_name_key, round(sum(q), 1) AS supplier_stock_qty, round(sum(v), 2) AS supplier_stock_value, count(*) AS source_row_count FROM (
- SELECT CAST(date_trunc('month', sale_date) AS DATE) AS stock_month, 'S' || l_suppkey AS supplier_key, upper(p_name) AS product_name_key, l_quantity AS q, l_extendedprice AS v
- FROM txn_sparse WHERE year(sale_date) >= 2000) GROUP BY ALL""", "supplier_stock_qty supplier_stock_value", "source_row_count")
+ SELECT CAST(date_trunc('month', sale_date) + INTERVAL {LATER} YEAR AS DATE) AS stock_month, 'S' || l_suppkey AS supplier_key, upper(p_name) AS product_name_key, l_quantity AS q, l_extendedprice AS v
+ FROM txn_sparse) GROUP BY ALL""", "supplier_stock_qty supplier_stock_value", "source_row_count")
 def _(spark, d):
-    """Text rows (labels before 2000 are not valid and drop out) as suppliers send them, one per delivered line."""
+    """Text rows as suppliers send them, one per delivered line."""
     t = fx.txn(spark, d, "sparse", stores=False)
     label = F.element_at(F.array(*[F.lit(m) for m in _LONGS]), F.month("sale_date"))
-    raw = t.select(F.concat_ws(" ", label, F.year("sale_date")).alias("period"), F.expr("concat('s', l_suppkey)").alias("supplier"),
+    raw = t.select(F.concat_ws(" ", label, F.year("sale_date") + LATER).alias("period"), F.expr("concat('s', l_suppkey)").alias("supplier"),
                    F.col("product_name").alias("product"), F.replace(F.format_string("%.2f", "l_quantity"), F.lit("."), F.lit(",")).alias("qty"),
                    F.format_string("%.2f", "l_extendedprice").alias("value"))
     s = sk.supplier_stock(raw)
