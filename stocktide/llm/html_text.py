@@ -35,14 +35,19 @@ RAW = "script|style|textarea"
 #: Elements dropped within a run of text; one that is not closed ends with the block around it.
 HIDDEN = frozenset("noscript template iframe svg object canvas title select button".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-# Words of classes and ids that mark boilerplate, and words that mark content.
-BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar navigation menu"
-    " breadcrumb breadcrumbs sidebar sidenav footer header masthead topbar cookie cookies consent gdpr notice notices popup modal overlay"
-    " newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments"
-    " commentlist disqus respond reply replies widget toolbar pagination pager copyright legal disclaimer skip hidden alert form".split()
+# Words of classes and ids that mark boilerplate; inside an article the soft ones mark only blocks that are mostly links.
+STRONG_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors nav navbar navigation menu breadcrumb breadcrumbs"
+    " sidebar sidenav footer topbar masthead cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login"
+    " sharing share social comment comments commentlist disqus respond widget toolbar pagination pager skip hidden copyright".split()
 )
-CONTENT_WORDS = frozenset("content article main post entry story body text page wrapper container layout".split())
+SOFT_WORDS = frozenset(
+    "promo promotion banner header notice notices search related recommended recommendations reply replies legal disclaimer alert form".split()
+)
+#: A header of these is a title, not the site's.
+TITLED_WORDS = frozenset("article post entry story section chapter recipe content page".split())
+#: A boilerplate word after one of these tells how the page is laid out, not what the element is.
+LAYOUT_WORDS = frozenset("has with no without hide show is".split())
 
 _MARKUP = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"""
@@ -55,6 +60,31 @@ _DIGITS = re.compile(r"\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+HARD, SOFT = 2, 1
+
+
+def token_level(words: list[str], inside: bool) -> int:
+    """How surely the words of one class or id mark boilerplate: HARD, SOFT (inside an article: if mostly links) or 0.
+
+    Every class decides for itself, and no word of content makes up for a word of
+    boilerplate: ``post-comments``, ``footer-content`` and ``nav-container`` go,
+    ``article-header`` and ``has-sidebar`` stay.
+    """
+    level = 0
+    for k, word in enumerate(words):
+        if LAYOUT_WORDS & set(words[:k]):
+            continue
+        if word in STRONG_WORDS:
+            return HARD
+        if word in SOFT_WORDS and not (word == "header" and TITLED_WORDS & set(words)):
+            level = SOFT if inside else HARD
+            if word == "header" and inside:
+                level = 0
+            if level == HARD:
+                return HARD
+    return level
+
+
 class Page:
     """Containers of a page and its text blocks outside boilerplate, in page order."""
 
@@ -66,7 +96,7 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, boilerplate, inside an article
+        stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, container, boilerplate (HARD: not read), inside an article
         run: list[str] = []
         linked = in_link = at = 0
 
@@ -74,15 +104,16 @@ class Page:
             nonlocal linked
             if run:
                 text = " ".join("".join(run).split())
-                if text:  # nothing is gathered inside dropped elements
-                    owner = next(container for _, container, dropped, _ in reversed(stack) if not dropped)
-                    self.blocks.append((owner, text, max(0, len(text) - linked)))
+                outside = max(0, len(text) - linked)
+                if text and (stack[-1][2] != SOFT or 2 * outside > len(text)):  # nothing is gathered inside dropped elements
+                    owner = next(container for _, container, dropped, _ in reversed(stack) if dropped < HARD)
+                    self.blocks.append((owner, text, outside))
                 run.clear()
                 linked = 0
 
         for m in _MARKUP.finditer(html):
             start = m.start()
-            if start > at and not stack[-1][2]:
+            if start > at and stack[-1][2] < HARD:
                 piece = html[at:start]
                 if "&" in piece:
                     piece = unescape(piece)
@@ -104,12 +135,12 @@ class Page:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] == tag:
                             del stack[k:]
-                        elif stack[k][2]:
+                        elif stack[k][2] == HARD:
                             continue
                         break
                 elif not m["attributes"].endswith("/"):
                     _, container, _, inside = stack[-1]
-                    stack.append((tag, container, True, inside))
+                    stack.append((tag, container, HARD, inside))
                 continue
             if tag not in BLOCKS:
                 if stack[-1][0] in HIDDEN:
@@ -134,8 +165,12 @@ class Page:
                 stack.pop()
             _, container, dropped, inside = stack[-1]
             attributes = m["attributes"]
-            names, marked = (self._names(attributes, tag, inside) if attributes else ("", False))
-            dropped = dropped or marked or tag in DROPPED or (tag == "header" and not inside)
+            names, marked = (self._names(attributes, tag, inside) if attributes else ("", 0))
+            if tag == "p" and marked == SOFT:
+                marked = 0
+            if tag in DROPPED or tag == "header" and not inside:
+                marked = HARD
+            dropped = max(dropped, marked)
             if tag in CONTAINERS:
                 self.paths.append(f"{self.paths[container]}>{tag}{names}")
                 self.parents.append(container)
@@ -143,32 +178,32 @@ class Page:
                 container = len(self.paths) - 1
             if not attributes or not attributes.rstrip().endswith("/") or tag not in VOID:
                 stack.append((tag, container, dropped, inside or tag in ("article", "main")))
-        if not stack[-1][2] and at < len(html):
+        if stack[-1][2] < HARD and at < len(html):
             run.append(unescape(html[at:]))
         flush()
 
     @staticmethod
-    def _names(attributes: str, tag: str, inside: bool) -> tuple[str, bool]:
-        """Generalised class part of a path, and whether the attributes mark boilerplate."""
-        names, marked, words = "", False, set()
+    def _names(attributes: str, tag: str, inside: bool) -> tuple[str, int]:
+        """Generalised class part of a path, and how surely the attributes mark boilerplate."""
+        names, marked, tokens = "", False, []
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key == "class":
                 names = "".join(f".{w}" for w in sorted({_DIGITS.sub("N", w) for w in value.lower().split()}))
             if key in ("class", "id"):
-                words.update(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+                tokens += [_WORD.findall(_CAMEL.sub(" ", token).lower()) for token in value.split()]
             elif key == "role":
                 marked = marked or value.lower() in ROLES
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 marked = True
             elif key == "style":
                 marked = marked or "display:none" in value.replace(" ", "").lower()
-        hits = words & BOILERPLATE_WORDS
-        if inside:
-            hits = hits - {"header"}
-        if hits and tag not in ("html", "body", "main", "article") and not words & CONTENT_WORDS:
-            marked = True
-        return names, marked
+        if tag in ("html", "body", "main", "article"):
+            return names, HARD if marked else 0
+        level = HARD if marked else 0
+        for token in tokens:
+            level = max(level, token_level(token, inside))
+        return names, level
 
     def best(self) -> int:
         """Smallest container with all running text, or the nearest article or main element that holds it."""
