@@ -6,7 +6,10 @@ boilerplate. A page votes for the path of its smallest container that holds all
 of its running text, or of the article or main element around it; the votes are
 added up per host in Spark, and every page of the host is read again with the
 winning path. A page whose containers of that path leave running text out keeps
-its own container.
+its own container. The pages of a host also agree on what lies outside their
+dominant containers (those with most of the text outside links): a block that
+comes again there on most of them, under the same generalised path, is part of
+the host's frame and goes even if no class tells.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocktide.llm.common import SALTS
+from stocktide.llm.common import SALTS, staged
 
 # Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -85,6 +89,16 @@ def token_level(words: list[str], inside: bool) -> int:
     return level
 
 
+#: Share of a page's running text that its dominant container has at least.
+SCORE = 0.6
+#: Different pages of a host on which a block must be repeated at least (and on more than half of them).
+REPEATS = 3
+
+
+def _key(text: str) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
+
+
 class Page:
     """Containers of a page and its text blocks outside boilerplate, in page order."""
 
@@ -216,6 +230,24 @@ class Page:
             up = self.parents[up]
         return up or own
 
+    def dominant(self) -> int:
+        """Smallest container with most of the running text (links do not count), or the article or main element around it."""
+        held = self._running()
+        own = max((k for k in range(len(held)) if held[k] and held[k] >= SCORE * held[0]), default=0)
+        up = own
+        while up > 0 and self.tags[up] not in ("article", "main"):
+            up = self.parents[up]
+        return up or own
+
+    def outside(self) -> list[tuple[int, int]]:
+        """Blocks outside the dominant container and any article: (number, key of generalised path and text)."""
+        free = self._inside({self.dominant(), *(k for k, tag in enumerate(self.tags) if tag in ("article", "main"))})
+        return [(k, _key(f"{self.paths[container]}\0{text}")) for k, (container, text, _) in enumerate(self.blocks) if not free[container]]
+
+    def main_key(self) -> int:
+        """Key of the text of the dominant container."""
+        return _key(self.text({self.dominant()}))
+
     def _running(self) -> list[int]:
         """Characters outside links in each container, those within it included."""
         held = [0] * len(self.paths)
@@ -248,9 +280,12 @@ def vote(html: str | None) -> str:
     return page.paths[page.best()]
 
 
-def extract(html: str | None, path: str | None) -> str:
-    """Text by the winning path of the host if that loses no running text, or by the page's own container."""
+def extract(html: str | None, path: str | None, repeated: frozenset[int] = frozenset()) -> str:
+    """Text by the winning path of the host if that loses no running text, or by the page's own container; blocks that the host repeats are left out."""
     page = Page(html or "")
+    if repeated:
+        gone = {k for k, key in page.outside() if key in repeated}
+        page.blocks = [block for k, block in enumerate(page.blocks) if k not in gone]
     own = page.best()
     same = {k for k, p in enumerate(page.paths) if p == path} if path else set()
     if own not in same and not (same and page.holds_all(same)):
@@ -262,21 +297,41 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+_VOTE = pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.int64()), ("block", pa.int64()), ("main", pa.int64())])
+
+
 def host_paths(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """Winning path of every host: ``(host, path)``. Votes are counted in tasks first, so a large host is no hot key."""
+    """What the pages of a host agree on: ``(host, path, repeated)``.
+
+    ``path`` is the winning path. ``repeated`` are the blocks outside the dominant
+    containers that come again, with the same generalised path and text, on more
+    than half of the host's pages with different main texts (and on ``REPEATS`` at
+    least); there can't be more of them than twice the blocks of a page. Votes and
+    equal blocks are counted in tasks first, so a large host is no hot key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            votes = Counter((host.as_py(), vote(html.as_py())) for host, html in zip(b.column(0), b.column(1)))
-            votes = {k: n for k, n in votes.items() if k[1]}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64())],
-                names=["host", "path", "votes"],
-            )
-
-    cast = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host string, path string, votes long")
-    counted = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return counted.groupBy("host").agg(F.max_by("path", F.struct("votes", F.length("path"), "path")).alias("path"))
+            votes, seen = Counter(), set()
+            for host, html in zip(b.column(0).to_pylist(), b.column(1)):
+                page = Page(html.as_py() or "")
+                path = page.paths[page.best()]
+                if path:
+                    votes[host, path] += 1
+                    main = page.main_key()
+                    seen.add((host, None, None, None, main))
+                    seen.update((host, None, None, key, main) for _, key in page.outside())
+            rows = [(h, p, n, None, None) for (h, p), n in votes.items()] + list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _VOTE)] if rows else [pa.array([], f.type) for f in _VOTE], schema=_VOTE)
+
+    cast = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host string, path string, votes long, block long, main long")
+    cast = staged(cast)
+    counted = cast.where("path is not null").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    paths = counted.groupBy("host").agg(F.max_by("path", F.struct("votes", F.length("path"), "path")).alias("path"))
+    mains = cast.where("main is not null").select("host", "block", "main").distinct().groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
+    pages_of = mains.where("block is null").select("host", F.col("n").alias("pages"))
+    repeated = mains.where(F.col("block").isNotNull() & (F.col("n") >= REPEATS)).join(pages_of, "host").where("2 * n > pages")
+    return paths.join(repeated.groupBy("host").agg(F.collect_list("block").alias("repeated")), "host", "left")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -297,8 +352,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(html.as_py(), path.as_py()) for html, path in zip(b.column(2), b.column(3))]
+            texts = [extract(html.as_py(), path.as_py(), frozenset(repeated.as_py() or ())) for html, path, repeated in zip(b.column(2), b.column(3), b.column(4))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    found = rows.select("id", "url", "html", "path").mapInArrow(run, f"id {kinds['id']}, url {kinds['url']}, text string")
+    found = rows.select("id", "url", "html", "path", "repeated").mapInArrow(run, f"id {kinds['id']}, url {kinds['url']}, text string")
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
