@@ -323,13 +323,24 @@ def split_decisions(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r.where(reason.isNull()).drop("reject_reason"), r.where(reason.isNotNull())
 
 
-def decisions_summary(decisions: DataFrame) -> DataFrame:
-    """Counts and impact by action over all rows and by queue type."""
-    both = decisions.withColumn("scope", F.explode(F.array(F.lit("ALL"), F.col("queue_type"))))
+def of_day(decisions: DataFrame, day: dt.date | None) -> DataFrame:
+    """Decisions of one day, or all of them; those without a time belong to no day."""
+    return decisions if day is None else decisions.where(F.to_date("decided_at") == F.lit(day))
+
+
+def decisions_summary(decisions: DataFrame, day: dt.date | None = None) -> DataFrame:
+    """Counts and impact by action, and the impact of all actions, over all rows (of a day, if one is given) and by queue type."""
+    both = of_day(decisions, day).withColumn("scope", F.explode(F.array(F.lit("ALL"), F.col("queue_type"))))
     impact = lambda a: F.coalesce(F.sum(F.when(F.col("action") == a, F.col("financial_impact"))), F.lit(0.0))
     return both.groupBy("scope").agg(
         F.count(F.lit(1)).alias("total"), *[F.count(F.when(F.col("action") == a, 1)).alias(f"{a}_count") for a in ACTIONS],
-        *[impact(a).alias(f"{a}_impact") for a in ACTIONS])
+        *[impact(a).alias(f"{a}_impact") for a in ACTIONS], F.coalesce(F.sum("financial_impact"), F.lit(0.0)).alias("impact"))
+
+
+def recent_decisions(decisions: DataFrame, day: dt.date | None = None, k: int = 10) -> DataFrame:
+    """The last ``k`` decisions (of a day, if one is given), ties to the larger id."""
+    cols = ("id", "sku_id", "queue_type", "action", "override_qty", "financial_impact", "decided_at")
+    return of_day(decisions, day).select(*cols).orderBy(F.desc_nulls_last("decided_at"), F.desc_nulls_last("id")).limit(k)
 
 
 def financial_impact(rows: DataFrame) -> DataFrame:

@@ -187,19 +187,28 @@ def fc_category_relative(weekly: DataFrame, keys: list[str], value: str = "units
     level = level.select("category", n.alias("cat_weeks"), recent.alias("cat_recent"),
                          F.when(year > 0, recent / year).otherwise(1.0).alias("cat_ratio"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("week_start")))
-    last = weekly.withColumn("_r", rank).where(F.col("_r") <= 4).join(cat, ["category", "week_start"])
+    ranked = weekly.withColumn("_r", rank)
+    last = ranked.where(F.col("_r") <= 4).join(cat, ["category", "week_start"])
     share = last.groupBy(*keys).agg(F.sum(value).alias("mine"), F.sum("total").alias("all"))
+    own = lambda low, high: F.avg(F.when(F.col("_r").between(low, high), F.col(value)))
+    levels = ranked.groupBy(*keys).agg(own(1, 4).alias("own_recent"), F.when(F.count(F.lit(1)) >= 56, own(53, 56)).otherwise(F.avg(value)).alias("own_year"))
     rows = weekly.groupBy(*keys).agg(
         F.max_by("category", "week_start").alias("category"), F.count(F.lit(1)).cast("int").alias("weeks_of_history"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
-    df = rows.join(share, keys).join(level, "category")
+    df = rows.join(share, keys).join(levels, keys).join(level, "category")
     error = F.coalesce(
         F.when(F.col("cat_weeks") < 8, F.concat(F.lit("Category: insufficient history ("), F.col("cat_weeks").cast("string"), F.lit(" weeks, need 8)"))),
         F.when(F.col("weeks_of_history") < 8, F.concat(F.lit("Insufficient SKU history: "), F.col("weeks_of_history").cast("string"), F.lit(" weeks (need 8)"))))
     ratio = F.col("cat_ratio")
-    weekly_level = F.col("cat_recent") * ratio * F.when(F.col("all") > 0, F.col("mine") / F.col("all")).otherwise(0.0)
+    part = F.when(F.col("all") > 0, F.col("mine") / F.col("all")).otherwise(0.0)
+    weekly_level = F.col("cat_recent") * ratio * part
+    expected = F.col("own_year") * ratio
+    against = F.when(expected > 0, F.col("own_recent") / expected).otherwise(1.0)
+    told = lambda c, digits: F.when(error.isNotNull(), 0.0).otherwise(F.round(c + 1e-9, digits))
     return result(df, keys, "category_relative", weekly_level * 4, weekly_level * 8, F.col("sd") * F.sqrt(F.lit(4.0)), F.col("sd") * F.sqrt(F.lit(8.0)), error,
-                  None, {"category_trend": F.when(error.isNotNull(), "STABLE").when(ratio > 1.03, "GROWING").when(ratio < 0.97, "DECLINING").otherwise("STABLE")})
+                  None, {"category_trend": F.when(error.isNotNull(), "STABLE").when(ratio > 1.03, "GROWING").when(ratio < 0.97, "DECLINING").otherwise("STABLE"),
+                         "category_forecast_4w": told(F.col("cat_recent") * ratio * 4, 1), "category_forecast_8w": told(F.col("cat_recent") * ratio * 8, 1),
+                         "sku_share_of_category": told(part, 4), "sku_performance_vs_category": told(against, 3), "category_yoy_ratio": told(ratio, 3)})
 
 
 def holt_fits(series: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

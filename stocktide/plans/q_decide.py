@@ -338,7 +338,9 @@ def _(spark, d):
 BLOCKS["d_req"] = """
 SELECT 'P' || l_partkey AS sku_id, CASE l_orderkey % 7 WHEN 0 THEN 'RETURN_WINDOW_CLOSING' WHEN 1 THEN 'dead_stock' WHEN 2 THEN 'STOCKOUT_RISK' WHEN 3 THEN 'DEMAND_DECLINING'
   WHEN 4 THEN 'OVER_ORDER_RISK' WHEN 5 THEN 'SUPPLIER_RED' END AS queue_type, CASE l_linenumber % 4 WHEN 0 THEN 'Approve' WHEN 1 THEN 'skip' WHEN 2 THEN 'override' ELSE 'hold' END AS action,
- CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS override_qty, l_extendedprice AS financial_impact FROM lineitem"""
+ CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS override_qty, l_extendedprice AS financial_impact,
+ concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS id,
+ make_date(2001, 1, 1) + CAST((l_orderkey * 31 + l_suppkey * 7) % 200 AS INTEGER) AS decided_at FROM lineitem"""
 BLOCKS["d_dec"] = """
 SELECT * REPLACE (lower(action) AS action, upper(queue_type) AS queue_type), CASE WHEN lower(action) NOT IN ('approve', 'skip', 'override') THEN 'bad_action'
  WHEN queue_type IS NULL OR upper(queue_type) NOT IN ('RETURN_WINDOW_CLOSING', 'DEAD_STOCK', 'STOCKOUT_RISK', 'DEMAND_DECLINING', 'OVER_ORDER_RISK') THEN 'bad_queue_type'
@@ -351,7 +353,9 @@ def requests(spark, d):
         """CASE l_orderkey % 7 WHEN 0 THEN 'RETURN_WINDOW_CLOSING' WHEN 1 THEN 'dead_stock' WHEN 2 THEN 'STOCKOUT_RISK' WHEN 3 THEN 'DEMAND_DECLINING'
            WHEN 4 THEN 'OVER_ORDER_RISK' WHEN 5 THEN 'SUPPLIER_RED' END AS queue_type""",
         "CASE l_linenumber % 4 WHEN 0 THEN 'Approve' WHEN 1 THEN 'skip' WHEN 2 THEN 'override' ELSE 'hold' END AS action",
-        "CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS override_qty", "l_extendedprice AS financial_impact")
+        "CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS override_qty", "l_extendedprice AS financial_impact",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS id",
+        "date_add(DATE '2001-01-01', CAST((l_orderkey * 31 + l_suppkey * 7) % 200 AS INT)) AS decided_at")
 
 
 @query("append_decision", """
@@ -362,16 +366,36 @@ def _(spark, d):
     return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows_n"), F.sum("financial_impact").alias("impact"))
 
 
-@query("decisions_summary", """
-WITH v AS (SELECT *, unnest(['ALL', queue_type]) AS scope FROM d_dec WHERE rej IS NULL)
+_DECISION_DAY = dt.date(2001, 7, 1)
+
+
+def _summary_sql(where: str) -> str:
+    return f"""
+WITH v AS (SELECT *, unnest(['ALL', queue_type]) AS scope FROM d_dec WHERE rej IS NULL{where})
 SELECT scope, count(*) AS total, count(*) FILTER (action = 'approve') AS approve_count, count(*) FILTER (action = 'skip') AS skip_count, count(*) FILTER (action = 'override') AS override_count,
  coalesce(sum(financial_impact) FILTER (action = 'approve'), 0) AS approve_impact, coalesce(sum(financial_impact) FILTER (action = 'skip'), 0) AS skip_impact,
- coalesce(sum(financial_impact) FILTER (action = 'override'), 0) AS override_impact FROM v GROUP BY ALL""",
-       "approve_impact skip_impact override_impact", "total approve_count skip_count override_count")
+ coalesce(sum(financial_impact) FILTER (action = 'override'), 0) AS override_impact, coalesce(sum(financial_impact), 0) AS impact FROM v GROUP BY ALL"""
+
+
+_SUMMARY = ("approve_impact skip_impact override_impact impact", "total approve_count skip_count override_count")
+
+
+@query("decisions_summary", _summary_sql(""), *_SUMMARY)
 def _(spark, d):
     return de.decisions_summary(de.split_decisions(requests(spark, d))[0])
 
 
+@query("decisions_summary_day", _summary_sql(f" AND decided_at = DATE '{_DECISION_DAY}'"), *_SUMMARY)
+def _(spark, d):
+    return de.decisions_summary(de.split_decisions(requests(spark, d))[0], _DECISION_DAY)
+
+
+@query("recent_decisions", """
+SELECT id, sku_id, queue_type, action, override_qty, financial_impact, decided_at FROM d_dec WHERE rej IS NULL ORDER BY decided_at DESC, id DESC LIMIT 10""", "override_qty financial_impact")
+def _(spark, d):
+    return de.recent_decisions(de.split_decisions(requests(spark, d))[0])
+
+
 BLOCKS["d_trend_b"] = trend_sql(f"(SELECT * FROM d_sales WHERE sale_date <= DATE '{BACKTEST}')", BACKTEST)
 BLOCKS["d_fin"] = f"""
 SELECT t.sku_id, last_year_estimate_4_weeks AS basic_order, forecast_4_weeks AS engine_order, coalesce(a.u, 0) AS actual_units, purchase_cost, selling_price

@@ -280,14 +280,18 @@ BLOCKS["fc_cat1"] = """
 SELECT category, count(*) AS cw, avg(t) FILTER (rd <= 4) AS cr, CASE WHEN count(*) >= 56 THEN avg(t) FILTER (rd BETWEEN 53 AND 56) ELSE avg(t) FILTER (rd <= 52) END AS cy FROM fc_cat0 GROUP BY category"""
 BLOCKS["fc_cat2"] = "SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY week_start DESC) AS rd FROM ser"
 BLOCKS["fc_cat3"] = """
-SELECT s.sku_id, count(*) AS n, coalesce(stddev_samp(s.units), 0) AS sd, sum(s.units) FILTER (s.rd <= 4) AS mine, sum(t) FILTER (s.rd <= 4) AS al, max(s.category) AS category
-FROM fc_cat2 s JOIN fc_cat0 c ON c.category = s.category AND c.week_start = s.week_start GROUP BY s.sku_id"""
+SELECT s.sku_id, count(*) AS n, coalesce(stddev_samp(s.units), 0) AS sd, sum(s.units) FILTER (s.rd <= 4) AS mine, sum(t) FILTER (s.rd <= 4) AS al, max(s.category) AS category, avg(s.units) FILTER (s.rd <= 4) AS own_recent,
+ CASE WHEN count(*) >= 56 THEN avg(s.units) FILTER (s.rd BETWEEN 53 AND 56) ELSE avg(s.units) END AS own_year FROM fc_cat2 s JOIN fc_cat0 c ON c.category = s.category AND c.week_start = s.week_start GROUP BY s.sku_id"""
 BLOCKS["fc_cat4"] = """
 SELECT *, CASE WHEN cy > 0 THEN cr / cy ELSE 1 END AS ratio, cr * CASE WHEN cy > 0 THEN cr / cy ELSE 1 END * CASE WHEN al > 0 THEN mine / al ELSE 0 END AS f FROM fc_cat3 JOIN fc_cat1 USING (category)"""
 _CTE = ("coalesce(CASE WHEN cw < 8 THEN 'Category: insufficient history (' || cw || ' weeks, need 8)' END, "
         "CASE WHEN n < 8 THEN 'Insufficient SKU history: ' || n || ' weeks (need 8)' END)")
+_CT = {"category_forecast_4w": "cr * ratio * 4", "category_forecast_8w": "cr * ratio * 8", "sku_share_of_category": "CASE WHEN al > 0 THEN mine / al ELSE 0 END",
+       "sku_performance_vs_category": "CASE WHEN own_year * ratio > 0 THEN own_recent / (own_year * ratio) ELSE 1 END", "category_yoy_ratio": "ratio"}
+_CT_DIGITS = dict(zip(_CT, (1, 1, 4, 3, 3)))
 BLOCKS["fc_ct"] = res_sql("fc_cat4", "category_relative", "f * 4", "f * 8", "sd * sqrt(4)", "sd * sqrt(8)", _CTE, "0",
-                          f", CASE WHEN {_CTE} IS NOT NULL THEN 'STABLE' WHEN ratio > 1.03 THEN 'GROWING' WHEN ratio < 0.97 THEN 'DECLINING' ELSE 'STABLE' END AS category_trend")
+                          f", CASE WHEN {_CTE} IS NOT NULL THEN 'STABLE' WHEN ratio > 1.03 THEN 'GROWING' WHEN ratio < 0.97 THEN 'DECLINING' ELSE 'STABLE' END AS category_trend"
+                          + "".join(f", CASE WHEN {_CTE} IS NOT NULL THEN 0 ELSE round({x} + 1e-9, {_CT_DIGITS[n]}) END AS {n}" for n, x in _CT.items()))
 
 
 @query("fc_category_relative", "SELECT * FROM fc_ct", RES_D, "weeks_of_history")
