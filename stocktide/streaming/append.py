@@ -19,11 +19,12 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 def append_stream(spark: SparkSession, folder: str, schema: StructType, table: str, checkpoint: str,
                   normalize: Callable[[DataFrame], DataFrame], sep: str = ",", key: str = "transaction_key",
-                  order: list[str] | None = None) -> StreamingQuery:
+                  order: list[str] | None = None, span: str | None = None) -> StreamingQuery:
     """Take in every file that has arrived and stop; run it again for the next ones.
 
     Batch and stream share ``append_transactions``: the stored table is the
-    memory of what was seen, so no state grows in the stream itself. A slice is
+    memory of what was seen, so no state grows in the stream itself, and a batch
+    reads only the slices of its own months (``span``) and keys. A slice is
     named by the stream's own id, which lives in its checkpoint, and the batch:
     a repeated batch rewrites its slice, and no other stream or later checkpoint
     can share it.
@@ -32,6 +33,6 @@ def append_stream(spark: SparkSession, folder: str, schema: StructType, table: s
 
     def take(batch: DataFrame, batch_id: int) -> None:
         stream = stream_id(batch.sparkSession, checkpoint)
-        append_transactions(normalize(batch), table, f"stream-{stream}-{batch_id}", key, order)
+        append_transactions(normalize(batch), table, f"stream-{stream}-{batch_id}", key, order, span)
 
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
