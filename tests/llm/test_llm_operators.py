@@ -363,17 +363,50 @@ def test_redaction_leaves_no_secret(spark):
 
 def test_matching_statistics_match_a_plain_search():
     rng = random.Random(11)
-    for _ in range(120):
-        text = [rng.randint(1, 3) for _ in range(rng.randint(1, 50))] + [0]
-        patterns = [[rng.randint(1, 4) for _ in range(rng.randint(1, 20))] for _ in range(rng.randint(1, 5))]
-        depth = rng.choice([4, 50])
+    for _ in range(200):
+        alphabet = rng.choice([b"ab", b"abc", b"\0a\xff"])
+        strings = [bytes(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 6))]
+        owners = np.array([rng.randint(0, 4) for _ in strings])
+        patterns = [bytes(rng.choice(alphabet + b"z") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 5))]
+        depth = rng.choice([4, 11, 50])
         sizes = np.array([len(p) for p in patterns])
         starts = np.cumsum(sizes) - sizes
-        got = RunIndex(np.array(text, np.int64), depth).matching_statistics(np.concatenate(patterns).astype(np.int64), starts, sizes)
+        index = RunIndex(strings, owners, depth)
+        got, rows = index.matches(np.frombuffer(b"".join(patterns), np.uint8), starts, sizes)
         for p, s in zip(patterns, starts):
             for k in range(len(p)):
-                best = max(next((n for n in range(len(p) - k) if text[j:j + n + 1] != p[k:k + n + 1]), len(p) - k) for j in range(len(text)))
+                best = next(n for n in range(len(p) - k, -1, -1) if any(p[k:k + n] in t for t in strings))
                 assert got[s + k] == min(best, depth)
+                if best >= depth:
+                    assert index.least[rows[s + k]] == min(o for t, o in zip(strings, owners) if p[k:k + depth] in t)
+
+
+def test_repeats_keep_the_largest_id_apart_from_null(spark):
+    text = words(30, 77)
+    got = repeats.remove_repeats(rows_of(spark, [text, text, text], [1, None, (1 << 63) - 1])).collect()
+    assert sorted(((r.doc_id, r.n_removed) for r in got), key=str) == sorted([(1, 0), (None, len(text)), ((1 << 63) - 1, len(text))], key=str)
+
+
+def test_blocks_of_many_ids_match_a_plain_search():
+    rng = random.Random(21)
+    base = words(30, 5).encode()
+    segments, ids, keys = [], [], []
+    for k in range(300):
+        key = rng.randrange(12)
+        at = rng.randrange(len(base) - 120)
+        piece = bytearray(bytes([97 + key]) + base[at:at + rng.randint(60, 400)])
+        for _ in range(rng.randint(0, 2)):
+            piece[rng.randrange(len(piece))] = 120
+        segments.append(bytes([48 + key]).join([bytes(piece[n:n + 12]) for n in range(0, len(piece), 12)]))
+        ids.append(rng.randrange(40))
+        keys.append(key)
+    got = repeats.repeated_windows(np.array(keys), np.array(ids), segments)
+    first = {}
+    for s, i in zip(segments, ids):
+        for w in range(len(s) - 49):
+            first[s[w:w + 50]] = min(first.get(s[w:w + 50], i), i)
+    for s, i, marks in zip(segments, ids, got):
+        assert marks.tolist() == [first[s[w:w + 50]] < i for w in range(len(s) - 49)]
 
 
 def plain_repeats(docs):
