@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,12 +15,27 @@ from stocktide.operators.clean import pick
 DELIMITERS = ",;\t|"
 
 
-def header_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """First line of every file that is not blank, by one job over all files."""
+def _line_patterns(sep: str) -> tuple[str, str]:
+    """Patterns of a line that ends outside quotes: if it began outside of them, and if it began inside."""
+    sep = "\\t" if sep == "\t" else "\\" + sep if sep == "|" else sep
+    inner = '[^"]*+(?:""[^"]*+)*+"' + f"[^{sep}]*+"
+    field = f'(?:"{inner}|(?!")[^{sep}]*+)'
+    return f"^{field}(?:{sep}{field})*+$", f"^{inner}(?:{sep}{field})*+$"
+
+
+def _left_open(line: Column, sep: str) -> Column:
+    """Whether a record that begins with this line goes on in the next one."""
+    return line.contains('"') & ~line.rlike(_line_patterns(sep)[0])
+
+
+def header_lines(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, set[str]]]:
+    """By one job over all files: the first line of each that is not blank, and the delimiters by which a line of it ends inside quotes."""
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("value"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
-    lines = lines.where(F.trim(F.translate("value", "\ufeff\t\r", "")) != "")
-    return {unquote(r.path): r.line for r in lines.groupBy("path").agg(F.min_by("value", "place").alias("line")).collect()}  # one row per file
+    filled = F.trim(F.translate("value", "\ufeff\t\r", "")) != ""
+    found = lines.where(filled).groupBy("path").agg(
+        F.min_by("value", "place").alias("line"), *[F.bool_or(_left_open(F.col("value"), sep)).alias(f"open{k}") for k, sep in enumerate(DELIMITERS)])
+    return {unquote(r.path): (r.line, {sep for k, sep in enumerate(DELIMITERS) if r[f"open{k}"]}) for r in found.collect()}  # one row per file
 
 
 def layout_of(line: str) -> tuple[str, list[str]]:
@@ -31,26 +46,94 @@ def layout_of(line: str) -> tuple[str, list[str]]:
     return sep, [n.replace("﻿", "").strip().strip('"').strip() for n in names]
 
 
+def whole_records(lines: DataFrame, sep: str) -> DataFrame:
+    """``(path, block, row, record)`` of files in which quoted values hold line breaks, read by any number of tasks.
+
+    ``lines`` holds ``(path, block, row, value)``: the lines of every file split.
+    A line begins outside or inside quotes. What it makes of either state is one
+    of four functions: both end the same (a reset), both stay, or both swap. So
+    the state before a line is that after the last reset, swapped as often as
+    lines swap since; it is found within each split first, then over one row per
+    split, and a split's first lines may end a record of an earlier one.
+    """
+    from_out, from_in = (F.when(F.col("value").contains('"'), ~F.col("value").rlike(p)).otherwise(F.lit(k == 1)) for k, p in enumerate(_line_patterns(sep)))
+    lines = lines.withColumns({"_out": from_out, "_in": from_in})
+    lines = lines.withColumns({"_reset": F.col("_out") == F.col("_in"), "_swap": (F.col("_out") & ~F.col("_in")).cast("int")})
+
+    def before(df: DataFrame, w: Window) -> DataFrame:
+        """Last reset before a row (its end state and the swaps up to it), and swaps before the row."""
+        df = df.withColumn("_swaps", F.sum("_swap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        last = F.last(F.when(F.col("_reset"), F.struct(F.col("_out").cast("int").alias("state"), F.col("_swaps").alias("swaps"))), ignorenulls=True)
+        return df.withColumns({"_last": last.over(earlier), "_sum": F.coalesce(F.sum("_swap").over(earlier), F.lit(0))})
+
+    own = before(lines, Window.partitionBy("path", "block").orderBy("row"))
+    after = F.struct(F.col("_reset").alias("reset"), F.col("_out").cast("int").alias("state"), F.col("_swaps").alias("swaps"))
+    splits = own.groupBy("path", "block").agg(
+        F.max_by(after, F.when(F.col("_reset"), F.col("row"))).alias("_tail"), F.sum("_swap").alias("_total"))
+    # a split as one line: a reset if it holds one, then its swaps since
+    since = F.col("_total") - F.coalesce(F.col("_tail.swaps"), F.lit(0))
+    splits = splits.select(
+        "path", "block", F.col("_tail.reset").isNotNull().alias("_reset"),
+        ((F.col("_tail.state") + since) % 2 == 1).alias("_out"), F.when(F.col("_tail.reset").isNull(), since).otherwise(0).alias("_swap"))
+    state = lambda: (F.coalesce(F.col("_last.state"), F.lit(0)) + F.col("_sum") - F.coalesce(F.col("_last.swaps"), F.lit(0))) % 2
+    entry = before(splits, Window.partitionBy("path").orderBy("block")).select("path", "block", state().alias("_entry"))
+    own = own.join(entry, ["path", "block"])
+    start = F.when(F.col("_last").isNull(), F.col("_entry") + F.col("_sum")).otherwise(F.col("_last.state") + F.col("_sum") - F.col("_last.swaps")) % 2 == 0
+    own = own.withColumn("_start", F.when(start, F.col("row")))
+    own = own.withColumn("_record", F.max("_start").over(Window.partitionBy("path", "block").orderBy("row")))
+    # lines before a split's first record end the last record of the nearest earlier split that begins one
+    begun = own.groupBy("path", "block").agg(F.max("_start").alias("row"))
+    carry = F.last(F.when(F.col("row").isNotNull(), F.struct("block", "row")), ignorenulls=True)
+    begun = begun.select("path", "block", carry.over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    own = own.join(begun, ["path", "block"])
+    mine = F.col("_record").isNotNull()
+    place = F.struct(F.col("block").alias("b"), F.col("row").alias("r"), F.col("value").alias("v"))
+    return own.groupBy(
+        "path", F.when(mine, F.col("block")).otherwise(F.col("_carry.block")).alias("_block"), F.coalesce("_record", "_carry.row").alias("_row"),
+    ).agg(F.array_join(F.transform(F.sort_array(F.collect_list(place)), lambda e: e["v"]), "\n").alias("record")).select(
+        "path", F.col("_block").alias("block"), F.col("_row").alias("row"), "record")
+
+
+def _broken_export(spark: SparkSession, files: list[str], sep: str, names: list[str]) -> DataFrame:
+    """Rows of exports with line breaks inside quotes; the first record that is not blank is the header."""
+    lines = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    records = whole_records(lines, sep).where(F.trim(F.translate("record", "\ufeff\t\r\n", "")) != "")
+    head = records.where(F.col("block") == 0).groupBy("path").agg(F.min("row").alias("_head"))
+    records = records.join(head, "path", "left").where((F.col("block") != 0) | (F.col("row") > F.col("_head")))
+    ddl = ", ".join(f"c{k} string" for k in range(len(names)))
+    value = F.from_csv("record", ddl, {"sep": sep, "quote": '"', "escape": '"'})
+    return records.withColumn("_value", value).select(
+        *[tx.clean_text(F.col(f"_value.c{k}")).alias(n) for k, n in enumerate(names)], F.element_at(F.split("path", "/"), -1).alias("source_file"),
+        F.col("block").alias("source_block"), F.col("row").alias("source_row_number"))
+
+
 def scan_export(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Rows of many exports with differing layouts as trimmed text.
 
-    Files with the same layout are read in one scan. A record may hold line
-    breaks inside quotes, so a file is one task; blank lines at its head are
-    passed over, and a file without any line has no rows. Lineage: source_file,
-    and (source_block, source_row_number) which together order the rows of a file.
+    Files with the same layout are read in one scan, and large files by several
+    tasks. A record may hold line breaks inside quotes: files that have such
+    records are put together from their lines (``whole_records``), all others
+    are read line by line. Blank lines at a file's head are passed over, and a
+    file without any line has no rows. Lineage: source_file, and (source_block,
+    source_row_number) which together order the rows of a file.
     """
-    layouts: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    for p, line in sorted(header_lines(spark, paths).items()):
+    layouts: dict[tuple[str, tuple[str, ...], bool], list[str]] = {}
+    for p, (line, broken) in sorted(header_lines(spark, paths).items()):
         sep, names = layout_of(line)
-        layouts.setdefault((sep, tuple(names)), []).append(p)
+        layouts.setdefault((sep, tuple(names), sep in broken), []).append(p)
     out = None
-    for (sep, names), files in layouts.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = spark.read.csv(files, sep=sep, header=True, schema=schema, quote='"', escape='"', enforceSchema=True, multiLine=True)
-        df = df.select(
-            *[tx.clean_text(F.col(f"`{n}`")).alias(n) for n in names],
-            F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"),
-            F.col("_metadata.file_block_start").alias("source_block"), F.monotonically_increasing_id().alias("source_row_number"))
+    for (sep, names, broken), files in layouts.items():
+        if broken:
+            df = _broken_export(spark, files, sep, list(names))
+        else:
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+            df = spark.read.csv(files, sep=sep, header=True, schema=schema, quote='"', escape='"', enforceSchema=True)
+            df = df.select(
+                *[tx.clean_text(F.col(f"`{n}`")).alias(n) for n in names],
+                F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"),
+                F.col("_metadata.file_block_start").alias("source_block"), F.monotonically_increasing_id().alias("source_row_number"))
         df = df.where(F.concat(*[F.col(f"`{n}`") for n in names]) != "")
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
