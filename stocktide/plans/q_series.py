@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -419,9 +420,13 @@ def bias_table(spark):
     return spark.createDataFrame(list(_BIAS.items()), "method string, bias_capped double")
 
 
-@query("bias_correct", f"""
+def bias_sql(src):
+    return f"""
 SELECT sku_id, method, {', '.join(f'CASE WHEN error IS NULL AND b IS NOT NULL THEN greatest(0, {c} / (1 + b)) ELSE {c} END AS {c}' for c in RES_D.split())}, weeks_of_history, error
-FROM fc_all LEFT JOIN (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in _BIAS.items())}) t(method, b) USING (method)""", RES_D, "weeks_of_history")
+FROM {src} LEFT JOIN (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in _BIAS.items())}) t(method, b) USING (method)"""
+
+
+@query("bias_correct", bias_sql("fc_all"), RES_D, "weeks_of_history")
 def _(spark, d):
     return fc.bias_correct(methods(spark, d)[1], bias_table(spark))
 
@@ -435,7 +440,31 @@ def _(spark, d):
     return fc.category_method_routing(m, w.groupBy("sku_id").agg(F.max("category").alias("category")), rules)
 
 
-BLOCKS["act_ser"] = f"SELECT * FROM ser WHERE sku_id NOT IN (SELECT sku_id FROM ser_silent)"
+BLOCKS["act_ser"] = "SELECT * FROM ser WHERE sku_id NOT IN (SELECT sku_id FROM ser_silent)"
+
+
+def on_active(name, kept=("ser_silent",)):
+    """Block ``name`` over the active series: every block on its way to ``ser`` once more, as act_<block>."""
+    if name in kept or name not in BLOCKS:
+        return name
+    if f"act_{name}" in BLOCKS:
+        return f"act_{name}"
+    sql = re.sub(r"\w+", lambda w: on_active(w[0], kept + (name,)), BLOCKS[name])
+    if sql == BLOCKS[name]:
+        return name
+    BLOCKS[f"act_{name}"] = sql
+    return f"act_{name}"
+
+
+BLOCKS["act_raw"] = f"SELECT * FROM {on_active('fc_all')}"
+BLOCKS["act_bias"] = f"SELECT {_RC} FROM ({bias_sql('act_raw')})"
+BLOCKS["act_ens_l"] = BLOCKS["ens_l"].replace("fc_all", "act_bias")
+BLOCKS["act_ens0"] = BLOCKS["ens0"].replace("ens_l", "act_ens_l")
+BLOCKS["act_ens_med"] = ens_sql("med4", "med8", "median", "act_ens0")
+for _b in ("prof3", "prof4"):
+    on_active(_b)
+ENSEMBLE_SQL = f"""{damp_sql("act_ens_med").replace("prof3", "act_prof3").replace("prof4", "act_prof4")}
+UNION ALL SELECT *, 0, NULL, NULL FROM silent_fc"""
 
 
 def ensemble(spark, d):
@@ -447,7 +476,7 @@ def ensemble(spark, d):
     return e.unionByName(fc.silent_zero_forecasts(silent, K), allowMissingColumns=True).fillna(0, ["seasonal_dampening_applied"])
 
 
-@query("ensemble_forecast", None, DAMP_D, ENS_N + " seasonal_dampening_applied")
+@query("ensemble_forecast", ENSEMBLE_SQL, DAMP_D, ENS_N + " seasonal_dampening_applied")
 def _(spark, d):
     return ensemble(spark, d)
 
