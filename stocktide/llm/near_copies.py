@@ -1,11 +1,12 @@
 """Near copies by Jaccard similarity of word shingles: min-hash bands, SimHash filter, exact check, components.
 
-Texts at Jaccard 0.8 differ in about 6 to 13 of the 64 bits of a SimHash, too
-many for the grid join of ``simhash``. Here texts meet in bands of min-hashes (a
-pair at the limit shares one of the bands with a probability of about 0.998); a
-meeting whose fingerprints differ in more than ``MAX_BITS`` bits is dropped, the
-bit counts of segments being the lower bound that is tested first; every other
-meeting is checked on the shingles of the whole texts.
+Texts meet in two ways. The grid join of ``simhash`` brings together all texts
+whose fingerprints are equal or differ in at most four bits. Texts at Jaccard 0.8
+differ in about 6 to 13 of the 64 bits, too many for it; these meet in bands of
+min-hashes (a pair at the limit shares one of the bands with a probability of
+about 0.998), where a meeting whose fingerprints differ in more than ``MAX_BITS`` bits is dropped, the
+bit counts of segments being the lower bound that is tested first. Every
+meeting is then checked on the shingles of the whole texts.
 
 Bands may hold thousands of near copies, so their pairs are never made. First
 each text of a band is checked with the smallest one, which settles most of a
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocktide.llm.common import connected_components, shuffle_partitions, staged, text_or_empty
+from stocktide.llm import simhash
 from stocktide.llm.simhash import LOW_BITS, shingle_hashes, simhash_of
 
 WORDS, LIMIT = 5, 0.8
@@ -128,6 +130,15 @@ def _first_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         head = rows[:, first[-1]:first[-1] + 1].copy()
 
 
+def _grid_meetings(sketches: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of texts that the SimHash grid join links: the smallest texts of two near fingerprints, and every text with the smallest one of its own."""
+    first = staged(sketches.groupBy("fp").agg(F.min("node").alias("first")))
+    same = sketches.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    side = lambda fp, name: first.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    near = simhash.links(first.select("fp")).join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return same.unionAll(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def _similar(x: np.ndarray, y: np.ndarray, limit: float) -> bool:
     if min(len(x), len(y)) < limit * max(len(x), len(y)):
         return False
@@ -241,7 +252,7 @@ def links(texts: DataFrame, words: int = WORDS, limit: float = LIMIT) -> DataFra
     sketches = staged(texts.mapInArrow(_sketch(words), _SKETCH))
     sent = sketches.select(F.explode("keys").alias("key"), "node", "fp", "size")
     met = sent.select("key", "node", "fp").repartition(partitions, "key").sortWithinPartitions("key", "node").mapInArrow(_first_meetings, "a long, b long")
-    met = staged(met.distinct())
+    met = staged(met.unionAll(_grid_meetings(sketches)).distinct())
     edges = _verified(met, _sets(texts, met.select(F.explode(F.array("a", "b")).alias("node")), words), limit)
     components = connected_components(edges).select("node", "component")
     rows = sent.join(components, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
