@@ -73,7 +73,7 @@ def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, fps, sizes, keys = [], [], [], []
-            for node, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for node, text in dict(zip(b.column(0).to_pylist(), b.column(1))).items():
                 hashes = shingle_hashes(text.as_py(), words)
                 if len(hashes):
                     nodes.append(node)
@@ -97,8 +97,9 @@ def _hashed(words: int):
 
 
 def _sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``(node, hashes)`` of the given nodes only: their sorted shingle hashes."""
-    return staged(texts.join(nodes.distinct(), "node", "left_semi").select("node", "text").mapInArrow(_hashed(words), "node long, hashes binary"))
+    """``(node, hashes)`` of the given nodes only: their sorted shingle hashes. All texts of a node have the same."""
+    found = texts.join(nodes.distinct(), "node", "left_semi").select("node", "text").mapInArrow(_hashed(words), "node long, hashes binary")
+    return staged(found.groupBy("node").agg(F.first("hashes").alias("hashes")))
 
 
 def _segments(fp: np.ndarray) -> np.ndarray:
@@ -247,15 +248,22 @@ def _crowds(rows: DataFrame, texts: DataFrame, words: int, limit: float) -> Data
 
 
 def links(texts: DataFrame, words: int = WORDS, limit: float = LIMIT) -> DataFrame:
-    """Edges ``(a, b)`` that connect all nodes of ``(node, text)`` linked by shingle similarity."""
+    """Edges ``(a, b)`` that connect all nodes of ``(node, text)`` linked by shingle similarity.
+
+    A node may come several times, with texts of the same words; what is shuffled
+    are sketches and sets of hashes, never texts that met nothing.
+    """
     partitions = shuffle_partitions(texts.sparkSession)
-    sketches = staged(texts.mapInArrow(_sketch(words), _SKETCH))
+    each = texts.mapInArrow(_sketch(words), _SKETCH).groupBy("node").agg(F.first(F.struct("fp", "size", "keys")).alias("s"))
+    sketches = staged(each.select("node", "s.*"))
     sent = sketches.select(F.explode("keys").alias("key"), "node", "fp", "size")
     met = sent.select("key", "node", "fp").repartition(partitions, "key").sortWithinPartitions("key", "node").mapInArrow(_first_meetings, "a long, b long")
     met = staged(met.unionAll(_grid_meetings(sketches)).distinct())
     edges = _verified(met, _sets(texts, met.select(F.explode(F.array("a", "b")).alias("node")), words), limit)
     components = connected_components(edges).select("node", "component")
-    rows = sent.join(components, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+    # components are looked up once a text, not once a band; one exchange by key serves the grouping and the join
+    known = sketches.join(components, "node", "left").select(F.explode("keys").alias("key"), "node", "size", F.coalesce("component", "node").alias("component"))
+    rows = known.repartition(partitions, "key")
     return edges.unionAll(staged(_crowds(rows, texts, words, limit)))
 
 
@@ -270,7 +278,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     nodes = staged(rows.mapInArrow(_keys, "id long, node long"))
-    texts = staged(rows.mapInArrow(_keyed, "node long, text string").groupBy("node").agg(F.min("text").alias("text")))
+    texts = rows.mapInArrow(_keyed, "node long, text string")
     classes = nodes.groupBy("node").agg(F.min("id").alias("low_id"))
     found = classes.join(connected_components(links(texts, words, limit)), "node", "left").select(
         "node", "low_id", F.coalesce("component", "node").alias("component")
