@@ -39,8 +39,10 @@ WALKS, SAMPLED, HORIZONS, STRIDE = 4, 7, (12, 16, 22), 3
 FEWEST_WORDS = 12
 #: Items that are searched at once; more are taken block by block, so what tasks hold stays bounded.
 ITEM_BLOCK = 20_000
-#: Characters of documents that are embedded at once (a longer document is one chunk).
-CHUNK_CHARS = 4_000_000
+#: Characters of documents whose words are counted through for the window starts, and of those that are embedded at once
+#: (a longer document is one piece); some 30 bytes of memory are needed for each character of a piece.
+CHUNK_CHARS, PIECE_CHARS = 4_000_000, 500_000
+#: Most bits of a table's key filter; it has at least 64 places for each key.
 FILTER_BITS = 22
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -65,8 +67,13 @@ def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.empty(0, np.uint32), sizes
     before = np.cumsum(lengths) - lengths
-    place = np.arange(before[-1] + lengths[-1]) - np.repeat(before, lengths)
-    mixed = np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * _POWERS[place & 1023], before)
+    place = np.arange(before[-1] + lengths[-1])
+    place -= np.repeat(before, lengths)
+    place &= 1023
+    mixed = data[inside].astype(np.uint64)
+    mixed += np.uint64(1)
+    mixed *= _POWERS[place]
+    mixed = np.add.reduceat(mixed, before)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _PRIME
     return (mixed >> np.uint64(32)).astype(np.uint32) | np.uint32(1), sizes
 
@@ -107,6 +114,11 @@ class ItemIndex:
     short: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)  # words of a part: its hash: item, offset
 
 
+def _place(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Places of keys in the filter of a table, whose size is a power of two."""
+    return keys >> np.uint64(65 - len(held).bit_length())
+
+
 def _sequence_hash(words: list[int]) -> int:
     out = 0
     for w in words:
@@ -141,8 +153,8 @@ def index_items(items: list[tuple[int, str | None]], max_edits: float = MAX_EDIT
         whole = last < ends  # the window lies in the item
         order = np.argsort(keys[whole], kind="stable")
         sorted_keys = keys[whole][order]
-        held = np.zeros(1 << FILTER_BITS, bool)
-        held[sorted_keys >> np.uint64(64 - FILTER_BITS)] = True
+        held = np.zeros(1 << min(FILTER_BITS, (64 * len(sorted_keys) + 1).bit_length()), bool)
+        held[_place(sorted_keys, held)] = True
         index.tables[table] = sorted_keys, item_of[whole][order], offset_of[whole][order], held
     return index
 
@@ -174,34 +186,41 @@ def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
-def leaks(texts: list[str | None], index: ItemIndex, max_edits: float = MAX_EDITS) -> Iterator[tuple[int, int, int]]:
-    """(text number, item number, edits) of the items that occur in the texts."""
-    first, held = 0, 0
+def leaks(texts: list[str | None] | pa.Array, index: ItemIndex, max_edits: float = MAX_EDITS) -> Iterator[tuple[int, int, int]]:
+    """(text number, item number, edits) of the items that occur in the texts; the strings of one piece are held at a time."""
+    piece, held, counted, before = [], 0, 0, 0
     for k, text in enumerate(texts):
-        held += len(text or "")
-        if held >= CHUNK_CHARS or k == len(texts) - 1:
-            for doc, item, edits in _chunk_leaks(texts[first:k + 1], index, max_edits):
-                yield first + doc, item, edits
-            first, held = k + 1, 0
+        piece.append(text.as_py() if isinstance(text, pa.Scalar) else text)
+        held += len(piece[-1] or "")
+        whole = counted + held >= CHUNK_CHARS
+        if whole or held >= PIECE_CHARS or k == len(texts) - 1:
+            codes, sizes = word_codes(piece)
+            for doc, item, edits in _piece_leaks(codes, sizes, before, index, max_edits):
+                yield k + 1 - len(piece) + doc, item, edits
+            counted, before = (0, 0) if whole else (counted + held, before + len(codes) + GAP * len(sizes))
+            piece, held = [], 0
+
+
+#: Zeros between documents, so that no window crosses.
+GAP = max(HORIZONS) + 1
 
 
-def _chunk_leaks(texts: list[str | None], index: ItemIndex, max_edits: float) -> Iterator[tuple[int, int, int]]:
-    gap = max(HORIZONS) + 1  # zeros between documents, so that no window crosses
-    words, sizes = word_codes(texts)
-    bases = np.cumsum(sizes) - sizes + gap * np.arange(len(sizes))
+def _piece_leaks(words: np.ndarray, sizes: np.ndarray, before: int, index: ItemIndex, max_edits: float) -> Iterator[tuple[int, int, int]]:
+    """``leaks`` of texts given as word codes; window starts are counted on from the ``before`` places that lie before them."""
+    bases = np.cumsum(sizes) - sizes + GAP * np.arange(len(sizes))
     at = int(bases[-1] + sizes[-1]) if len(sizes) else 0
-    codes = np.zeros(at + gap, np.uint32)
-    codes[np.arange(len(words)) + gap * np.repeat(np.arange(len(sizes)), sizes)] = words
+    codes = np.zeros(at + GAP, np.uint32)
+    codes[np.arange(len(words)) + GAP * np.repeat(np.arange(len(sizes)), sizes)] = words
     docs = [codes[b:b + n] for b, n in zip(bases.tolist(), sizes.tolist())]
     yield from _short_leaks(docs, index, max_edits)
     if not index.tables:
         return
-    starts = np.arange(0, at, STRIDE, dtype=np.int64)
+    starts = np.arange(-before % STRIDE, at, STRIDE, dtype=np.int64)
     starts = starts[codes[starts] != 0]
     met = []
     for table, keys, _ in embed(codes, starts):
         sorted_keys, item_of, offset_of, bits = index.tables[table]
-        hit = np.flatnonzero(bits[keys >> np.uint64(64 - FILTER_BITS)])
+        hit = np.flatnonzero(bits[_place(keys, bits)])
         low, high = (np.searchsorted(sorted_keys, keys[hit], side) for side in ("left", "right"))
         times = high - low
         entry = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
@@ -279,7 +298,7 @@ def find_leaks(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = list(leaks(b.column(1).to_pylist(), shared.value, max_edits))
+                found = list(leaks(b.column(1), shared.value, max_edits))
                 ids = b.column(0).take(pa.array([d for d, _, _ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([shared.value.ids[i] for _, i, _ in found], pa.int64()), pa.array([e for _, _, e in found], pa.int32())],
@@ -301,7 +320,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = {d for d, _, _ in leaks(b.column(place).to_pylist(), shared.value, max_edits)}
+                found = {d for d, _, _ in leaks(b.column(place), shared.value, max_edits)}
                 yield b.filter(pa.array([k not in found for k in range(b.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
