@@ -96,9 +96,25 @@ def _hashed(words: int):
     return run
 
 
+#: Bits of a node that choose a row of the filter, at most 2**18 rows of 64 places each however many nodes there are.
+FILTER_ROWS = 18
+
+
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose node is in ``nodes``.
+
+    A bit filter of bounded size, broadcast, drops nearly all other texts where
+    they are read, so only what is left is shuffled for the exact join.
+    """
+    row, bit = f"shiftrightunsigned(node, {64 - FILTER_ROWS})", f"shiftleft(1L, CAST(shiftrightunsigned(node, {58 - FILTER_ROWS}) & 63 AS INT))"
+    held = nodes.groupBy(F.expr(row).alias("row")).agg(F.expr(f"bit_or({bit})").alias("bits"))
+    near = texts.withColumn("row", F.expr(row)).join(F.broadcast(held), "row").where(F.expr(f"bits & {bit} <> 0"))
+    return near.select("node", "text").join(nodes.distinct(), "node")
+
+
 def _sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """``(node, hashes)`` of the given nodes only: their sorted shingle hashes. All texts of a node have the same."""
-    found = texts.join(nodes.distinct(), "node", "left_semi").select("node", "text").mapInArrow(_hashed(words), "node long, hashes binary")
+    found = _texts_of(texts, nodes).mapInArrow(_hashed(words), "node long, hashes binary")
     return staged(found.groupBy("node").agg(F.first("hashes").alias("hashes")))
 
 

@@ -1,10 +1,11 @@
-"""Leak search in pieces of bounded memory."""
+"""Bounded memory of the pipeline: leak search in pieces, batches of bounded bytes."""
 
 import random
 import tracemalloc
 
 import pyarrow as pa
 
+import corpus_pipeline
 from stocktide.llm import decontamination
 
 
@@ -44,3 +45,22 @@ def test_pieces_find_what_a_whole_batch_finds(monkeypatch):
         monkeypatch.setattr(decontamination, "CHUNK_CHARS", chunk)
         assert sorted(decontamination.leaks(docs, index)) == got
     assert got
+
+
+def test_pipeline_stages_get_batches_of_bounded_bytes(spark, tmp_path, monkeypatch):
+    docs = [(k, f"{k} " * 20_000, "en", "s", 5) for k in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "rows"])
+
+    def measure(spark, docs, sf_dir):
+        return docs.mapInArrow(sizes, "bytes long, rows long")
+
+    name = corpus_pipeline.BATCH_BYTES[0]
+    before = spark.conf.get(name)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("measure", measure)])
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r.rows for r in found) == 120 and max(r.bytes for r in found) < 6e6
+    assert spark.conf.get(name) == before
